@@ -17,6 +17,7 @@ def local_session(cores: str = "*", app: str = "eventloom", **conf: str) -> Spar
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
         **conf,
