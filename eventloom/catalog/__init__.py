@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import events  # noqa: F401
+from . import corpus, events, graph  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

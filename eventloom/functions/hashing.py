@@ -55,10 +55,15 @@ def analysis_id(document_id: Column, template_hash: Column, analyzed_at: Column)
 
 
 def joined_id(ids: Column) -> Column:
-    """Id of a set of ids, whatever their order."""
+    """Id of a row's own list of ids, whatever their order."""
     return F.sha2(F.array_join(F.array_sort(ids), ":"), 256)
 
 
+def id_set_digest(ids: Column) -> Column:
+    """Id of all ids of a group, whatever their order, as an aggregate of any size."""
+    return multiset_digest(F.sha2(ids, 256))
+
+
 def row_digest(columns: list[str]) -> Column:
     """Hash of one row. Every value is length-prefixed, so values cannot run into each other."""
     parts = []

@@ -26,9 +26,9 @@ def name_pairs(nodes: DataFrame) -> DataFrame:
     """Distinct names (node_type, norm, ord) and their containment pairs' names."""
     names = distinct_names(nodes)
     pairs = containment_pairs(names)
-    a = names.select(F.col("ord").alias("earlier"), F.col("norm").alias("earlier_name"))
-    b = names.select(F.col("ord").alias("later"), F.col("norm").alias("later_name"))
-    return pairs.join(a, "earlier").join(b, "later").select("node_type", "earlier_name", "later_name")
+    a = names.select("node_type", F.col("ord").alias("earlier"), F.col("norm").alias("earlier_name"))
+    b = names.select("node_type", F.col("ord").alias("later"), F.col("norm").alias("later_name"))
+    return pairs.join(a, ["node_type", "earlier"]).join(b, ["node_type", "later"]).select("node_type", "earlier_name", "later_name")
 
 
 def distinct_names(nodes: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def search(
 def similar_to_item(vectors: DataFrame, item_id, limit: int = 10) -> DataFrame:
     """Neighbours of a stored item, itself left out. Its vector enters as a scalar subquery."""
     query = vectors.where(F.col("item_id") == item_id).select("embedding").scalar()
-    found = search(vectors, query, limit + 1)
+    found = search(vectors.withColumn("_query", query), F.col("_query"), limit + 1).drop("_query")
     return found.where(F.col("item_id") != item_id).orderBy("distance", "item_id").limit(limit)
 
 
