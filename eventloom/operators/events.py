@@ -167,20 +167,31 @@ def signature_candidates(new: DataFrame, existing: DataFrame) -> DataFrame:
     return out
 
 
-def event_weights(observations: DataFrame, keys: list[str]) -> DataFrame:
-    """Weight, diversity and confidence per event from (source_name, source_bias, date_raw).
+def observation_partials(observations: DataFrame, keys: list[str]) -> DataFrame:
+    """Additive sums per (key, bias, source) of (source_name, source_bias, date_raw) rows.
 
-    Rows shrink to one per (key, bias, source) before the distinct counts; date agreement only
-    needs the extreme dates and a null count.
+    Partials of several batches can simply be stacked: :func:`weights_from_partials` adds them up.
     """
     bias = F.nullif(F.col("source_bias"), F.lit(""))
-    reduced = observations.groupBy(*keys, bias.alias("bias"), "source_name").agg(
+    return observations.groupBy(*keys, bias.alias("bias"), "source_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("date_raw").alias("dated"),
         F.min("date_raw").alias("lo"),
         F.max("date_raw").alias("hi"),
     )
-    grouped = reduced.groupBy(*keys).agg(
+
+
+def event_weights(observations: DataFrame, keys: list[str]) -> DataFrame:
+    """Weight, diversity and confidence per event from (source_name, source_bias, date_raw).
+
+    Rows shrink to one per (key, bias, source) before the distinct counts; date agreement only
+    needs the extreme dates and a null count.
+    """
+    return weights_from_partials(observation_partials(observations, keys), keys)
+
+
+def weights_from_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
+    grouped = partials.groupBy(*keys).agg(
         F.sum("n").alias("source_count"),
         F.sum("dated").alias("dated"),
         F.min("lo").alias("lo"),
