@@ -131,7 +131,7 @@ def event_group_members(spark, sf):
 
 _STAGE1 = _GROUPS + ", " + RESOLVED + """, en AS (
   SELECT event_key, node_type, lower(name) AS lname, sum(confidence * n_mentions) AS weight,
-         sum(n_mentions) AS source_entries, count(DISTINCT analysis_id) AS source_analyses
+         sum(n_mentions) AS source_entries
   FROM grp JOIN kg_nodes USING (analysis_id) GROUP BY ALL),
 ee AS (
   SELECT event_key, src_type, src_name, relation, dst_type, dst_name,
@@ -150,10 +150,10 @@ def _event_edges(spark, sf):
 
 @query("event_nodes", f"""WITH {_STAGE1}
 SELECT event_key, node_type, lname, round(weight, 6) AS weight,
-       CAST(source_entries AS BIGINT) AS source_entries, CAST(source_analyses AS BIGINT) AS source_analyses FROM en""")
+       CAST(source_entries AS BIGINT) AS source_entries FROM en""")
 def event_nodes(spark, sf):
     return _event_nodes(spark, sf).select(
-        "event_key", "node_type", "lname", r6("weight").alias("weight"), "source_entries", "source_analyses"
+        "event_key", "node_type", "lname", r6("weight").alias("weight"), "source_entries"
     )
 
 

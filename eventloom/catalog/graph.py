@@ -343,9 +343,7 @@ SELECT node_type, lower(name) AS canonical_name, CAST(count(*) AS BIGINT) AS cor
        CAST(count(DISTINCT substr(document_id, 1, 5)) AS BIGINT) AS source_diversity
 FROM kg_nodes GROUP BY node_type, lower(name)""")
 def corroboration(spark, sf):
-    members = _members(spark, sf)
-    names = members.select("set_id", "node_type", "canonical_name").distinct()
-    return eq.corroboration(members).join(names, "set_id").drop("set_id")
+    return eq.corroboration(_members(spark, sf)).withColumnRenamed("entity_type", "node_type")
 
 
 _EVIDENCE = NODES + ", " + EDGES + """, dst AS (
@@ -361,16 +359,10 @@ SELECT src_type, src_name, dst_type, dst_name, CAST(count(*) AS BIGINT) AS suppo
        round(sum(confidence), 6) AS total_weight, round(avg(confidence), 6) AS confidence
 FROM evidence GROUP BY src_type, src_name, dst_type, dst_name""")
 def weighted_relationships(spark, sf):
-    members = _members(spark, sf)
-    found = eq.weighted_relationships(eq.relationship_evidence(members, t.kg_edges(spark, sf)))
-    names = members.groupBy("set_id").agg(F.min("node_type").alias("type"), F.min("canonical_name").alias("name"))
-    return (
-        found.join(names.toDF("src_set", "src_type", "src_name"), "src_set")
-        .join(names.toDF("dst_set", "dst_type", "dst_name"), "dst_set")
-        .select(
-            "src_type", "src_name", "dst_type", "dst_name", "supporting_instances",
-            r6("total_weight").alias("total_weight"), r6("confidence").alias("confidence"),
-        )
+    found = eq.weighted_relationships(eq.relationship_evidence(_members(spark, sf), t.kg_edges(spark, sf)))
+    return found.select(
+        *eq.PAIR_KEY, "supporting_instances", r6("total_weight").alias("total_weight"),
+        r6("confidence").alias("confidence"),
     )
 
 
@@ -406,8 +398,7 @@ def provenance_chain(spark, sf):
         F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("url"),
         F.col("o_orderdate").alias("published"), F.col("o_orderdate").alias("analyzed_at"),
     )
-    names = members.select("set_id", "node_type", "canonical_name").distinct()
-    chain = eq.provenance_chain(members, analyses).join(names, "set_id")
+    chain = eq.provenance_chain(members, analyses).withColumnRenamed("entity_type", "node_type")
     return chain.groupBy(
         "node_type", "canonical_name", "analysis_id", "kg_node_id", "article_title",
         r6("confidence_score").alias("confidence_score"),

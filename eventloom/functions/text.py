@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .lists import bind, mark_repeats
 
 # --- fixed values -------------------------------------------------------------------------
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 ACTOR_TITLES = ["judge", "mr.", "mrs.", "ms.", "dr."]
 ACTION_SYNONYMS = {
     "detained": "arrested",
@@ -57,7 +61,7 @@ HTML_ENTITIES = {
 
 def strip(c: Column) -> Column:
     """Trim any leading and trailing white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def blank(c: Column) -> Column:

@@ -319,20 +319,14 @@ def group_members(groups: DataFrame) -> DataFrame:
 
 
 def event_node_sources(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Weight that each analysis gives to a node of an event.
+    """Weight that each node of each analysis gives to an event: the members of its source lists.
 
-    Both sides are reduced before they meet: mentions to a count per analysis, nodes to one row
-    per (analysis, entity).
+    Mentions are one count per (event, analysis) before they meet the nodes.
     """
-    per_analysis = nodes.groupBy("analysis_id", "node_type", F.lower("name").alias("lname")).agg(
-        F.sum(F.coalesce("confidence", F.lit(1.0))).alias("conf"),
-        F.count(F.lit(1)).alias("nodes"),
-        F.min("node_seq").alias("node_seq"),
-    )
-    return groups.select("event_key", "analysis_id", "n_mentions").join(per_analysis, "analysis_id").select(
-        "event_key", "node_type", "lname", "analysis_id",
-        (F.col("conf") * F.col("n_mentions")).alias("weight"),
-        (F.col("nodes") * F.col("n_mentions")).alias("appearances"),
+    return groups.select("event_key", "analysis_id", "n_mentions").join(nodes, "analysis_id").select(
+        "event_key", "node_type", F.lower("name").alias("lname"), "analysis_id",
+        (F.coalesce("confidence", F.lit(1.0)) * F.col("n_mentions")).alias("weight"),
+        F.col("n_mentions").alias("appearances"),
         "node_seq",
     )
 
@@ -342,7 +336,6 @@ def event_nodes(sources: DataFrame) -> DataFrame:
     return sources.groupBy("event_key", "node_type", "lname").agg(
         F.sum("weight").alias("weight"),
         F.sum("appearances").alias("source_entries"),
-        F.count(F.lit(1)).alias("source_analyses"),
         F.min("node_seq").alias("node_seq"),
     )
 
@@ -360,7 +353,10 @@ def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Of several nodes with one local id the last one counts.
     """
-    ids = nodes.where(F.col("local_id").isNotNull()).groupBy("analysis_id", "local_id").agg(
+    # local ids are nearly unique: shuffle first, so that there is one sort for the aggregate and
+    # the joins behind it instead of another one before the shuffle
+    placed = nodes.where(F.col("local_id").isNotNull()).repartition("analysis_id", "local_id")
+    ids = placed.groupBy("analysis_id", "local_id").agg(
         F.max_by(F.struct("node_type", F.lower("name").alias("lname")), "node_seq").alias("k")
     )
     src = ids.select("analysis_id", F.col("local_id").alias("source_id"),
@@ -374,13 +370,10 @@ EDGE_KEY = ["src_type", "src_name", "relation", "dst_type", "dst_name"]
 
 
 def event_edge_sources(groups: DataFrame, resolved: DataFrame) -> DataFrame:
-    per_analysis = resolved.groupBy("analysis_id", *EDGE_KEY).agg(
-        F.sum(F.coalesce("confidence", F.lit(1.0))).alias("conf"), F.count(F.lit(1)).alias("edges")
-    )
-    return groups.select("event_key", "analysis_id", "n_mentions").join(per_analysis, "analysis_id").select(
+    return groups.select("event_key", "analysis_id", "n_mentions").join(resolved, "analysis_id").select(
         "event_key", *EDGE_KEY, "analysis_id",
-        (F.col("conf") * F.col("n_mentions")).alias("weight"),
-        (F.col("edges") * F.col("n_mentions")).alias("appearances"),
+        (F.coalesce("confidence", F.lit(1.0)) * F.col("n_mentions")).alias("weight"),
+        F.col("n_mentions").alias("appearances"),
     )
 
 
@@ -400,8 +393,10 @@ def unified_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def node_names(nodes: DataFrame) -> DataFrame:
-    """Spelling and date of the first node of each entity."""
-    return nodes.groupBy("node_type", F.lower("name").alias("lname")).agg(
+    """Spelling and date of the first node of each entity. Spellings are few per entity, so they
+    are folded with their first place before the pick."""
+    spelled = nodes.groupBy("node_type", "name", "timestamp").agg(F.min("node_seq").alias("node_seq"))
+    return spelled.groupBy("node_type", F.lower("name").alias("lname")).agg(
         F.min_by("name", "node_seq").alias("name"),
         F.coalesce(F.min_by("timestamp", "node_seq"), F.lit("N/A")).alias("timestamp"),
     )

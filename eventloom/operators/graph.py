@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import multiset_digest, row_digest
 from ..functions.maps import merge_maps, overlay
 from ..functions.text import strip
+from ..session import cut
 from .matching import containment_pairs, first_fit
 
 LOOK_AHEAD = 4
@@ -85,12 +86,17 @@ def upsert_nodes(nodes: DataFrame, entities: DataFrame) -> tuple[DataFrame, Data
     later mentions from another document become rows of the second frame.
     """
     keyed = nodes.withColumn("norm", normalized_name(F.col("name"))).join(entities, ["node_type", "norm"])
+    # read four times below: write the joined rows once instead of joining four times
+    keyed = cut(keyed.drop("norm"))
     fields = [c for c in ("name", "timestamp", "document_id", "source_sentence") if c in nodes.columns]
-    base = keyed.groupBy("node_id", "node_type").agg(
-        F.min_by(F.struct(*fields), "node_seq").alias("first"),
-        F.count(F.lit(1)).alias("mentions"),
-        F.min("node_seq").alias("node_seq"),
-    ).select("node_id", F.col("node_type").alias("type"), "first.*", "mentions", "node_seq")
+    # counts and first places fit a hash aggregate; the few first rows are then looked up by place
+    heads = keyed.groupBy("node_id", "node_type").agg(
+        F.min("node_seq").alias("node_seq"), F.count(F.lit(1)).alias("mentions")
+    )
+    first = keyed.select("node_id", "node_seq", *fields).join(heads, ["node_id", "node_seq"])
+    base = first.dropDuplicates(["node_id"]).select(
+        "node_id", F.col("node_type").alias("type"), *fields, "mentions", "node_seq"
+    )
     if "attributes" in nodes.columns:
         merged = merge_maps(keyed, ["node_id"], "attributes", F.col("node_seq"), last_wins=False)
         base = base.join(merged, "node_id", "left")
@@ -130,7 +136,10 @@ def edge_id(src: Column, relation: Column, dst: Column) -> Column:
 def link_edges(edges: DataFrame, nodes: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges between graph nodes: local ids to names to node ids, the last local node counting."""
     ids = (
+        # local ids are nearly unique: shuffle first, so that there is one sort for the
+        # aggregate and the joins behind it instead of another one before the shuffle
         nodes.where(F.col("local_id").isNotNull())
+        .repartition("analysis_id", "local_id")
         .withColumn("norm", normalized_name(F.col("name")))
         .groupBy("analysis_id", "local_id")
         .agg(F.max_by(F.struct("node_type", "norm"), "node_seq").alias("k"))
@@ -154,11 +163,11 @@ def upsert_edges(linked: DataFrame, digraph: bool = False) -> tuple[DataFrame, D
         last = linked.groupBy("src", "dst").agg(F.max_by("relation", "edge_seq").alias("relation"))
         rows = linked.join(last, key, "left_semi")
     fields = [c for c in ("timestamp", "evidence_quote", "document_id") if c in rows.columns]
-    base = rows.groupBy(*key).agg(
-        F.min_by(F.struct(*fields), "edge_seq").alias("first"),
-        F.count(F.lit(1)).alias("mentions"),
-        F.min("edge_seq").alias("edge_seq"),
-    ).select(edge_id(*[F.col(c) for c in key]).alias("edge_id"), *key, "first.*", "mentions", "edge_seq")
+    heads = rows.groupBy(*key).agg(F.min("edge_seq").alias("edge_seq"), F.count(F.lit(1)).alias("mentions"))
+    first = rows.select(*key, "edge_seq", *fields).join(heads, [*key, "edge_seq"]).dropDuplicates(key)
+    base = first.select(
+        edge_id(*[F.col(c) for c in key]).alias("edge_id"), *key, *fields, "mentions", "edge_seq"
+    )
     if "attributes" in rows.columns:
         merged = merge_maps(rows, key, "attributes", F.col("edge_seq"), last_wins=False)
         base = base.join(merged, key, "left")

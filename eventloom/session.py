@@ -51,6 +51,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared folder so that it survives lost executors."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame to the shared folder and go on from the written table.
+
+    The table survives lost executors, ends the lineage, and is read by column, so a frame used
+    in several places is computed once.
+    """
+    path = fresh_dir(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
