@@ -12,19 +12,18 @@ from ..functions.maps import list_or_map
 from ..functions.text import blank, strip
 
 
-def _stem(suffix: str):
-    """File name of the current row without its ending."""
-    return F.regexp_replace(F.col("_metadata.file_name"), suffix, "")
+def _stem(name, suffix: str):
+    """File name without its ending."""
+    return F.regexp_replace(name, suffix, "")
 
 
 def _json(spark: SparkSession, path: str, ddl: str, glob: str = "*.json", **options: str) -> DataFrame:
-    """One JSON document per file; unreadable ones keep their text in ``_corrupt``."""
+    """One JSON document per file, with ``file_name``; unreadable ones keep their text in
+    ``_corrupt``."""
     schema = StructType.fromDDL(ddl).add("_corrupt", "string")
-    return (
-        spark.read.schema(schema)
-        .options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", pathGlobFilter=glob, **options)
-        .json(path)
-    )
+    texts = spark.read.options(pathGlobFilter=glob, **options).text(path, wholetext=True)
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return texts.select(parsed.alias("x"), F.col("_metadata.file_name").alias("file_name")).select("x.*", "file_name")
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,14 +34,14 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_contents(spark: SparkSession, path: str) -> DataFrame:
     texts = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    return texts.select(_stem(r"\.txt$").alias("doc_id"), F.col("value").alias("content"))
+    return texts.select(
+        _stem(F.col("_metadata.file_name"), r"\.txt$").alias("doc_id"), F.col("value").alias("content")
+    )
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    raw = _json(spark, path, S.DOCUMENT_METADATA)
-    return raw.where(F.col("_corrupt").isNull()).select(_stem(r"\.json$").alias("doc_id"), *[
-        c for c in raw.columns if c != "_corrupt"
-    ])
+    good, _corrupt = split_corrupt(_json(spark, path, S.DOCUMENT_METADATA))
+    return good.withColumn("doc_id", _stem(F.col("file_name"), r"\.json$")).drop("file_name")
 
 
 def read_documents(spark: SparkSession, base: str) -> DataFrame:
@@ -68,7 +67,7 @@ def read_analyses(
     typed = f"kg_payload struct<nodes array<{S.NODE}>, edges array<{S.EDGE}>>"
     raw_ddl = S.ANALYSES.replace(typed, f"kg_payload {S.RAW_PAYLOAD}")
     options = {} if modified_after is None else {"modifiedAfter": modified_after}
-    raw = _json(spark, path, raw_ddl, pattern, **options).withColumn("file_name", F.col("_metadata.file_name"))
+    raw = _json(spark, path, raw_ddl, pattern, **options)
     payload = F.when(
         F.col("kg_payload").isNotNull(),
         F.struct(
@@ -162,9 +161,9 @@ def read_graph_dir(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame
 
     def part(name: str, schema: str) -> DataFrame:
         ddl = schema.removeprefix("struct<").removesuffix(">")
-        raw = _json(spark, f"{base}/{name}", ddl)
-        fields = [c for c in raw.columns if c != "_corrupt"]
-        return raw.where(F.col("_corrupt").isNull()).select(_stem(r"\.json$").alias("_id"), F.struct(*fields).alias("x"))
+        good, _corrupt = split_corrupt(_json(spark, f"{base}/{name}", ddl))
+        fields = [c for c in good.columns if c != "file_name"]
+        return good.select(_stem(F.col("file_name"), r"\.json$").alias("_id"), F.struct(*fields).alias("x"))
 
     nodes = part("nodes", S.GRAPH_NODE).select(F.col("_id").alias("node_id"), F.col("x").alias("n"))
     edges = part("edges", S.GRAPH_EDGE).select(F.col("x").withField("id", F.col("_id")).alias("e"))
@@ -211,7 +210,7 @@ def read_lineage(spark: SparkSession, path: str, kind: str) -> DataFrame:
         "analysis": S.LINEAGE_ANALYSIS,
         "aggregation": S.LINEAGE_AGGREGATION,
     }[kind]
-    return _json(spark, path, ddl, "*_lineage.json").where(F.col("_corrupt").isNull()).drop("_corrupt")
+    return split_corrupt(_json(spark, path, ddl, "*_lineage.json"))[0].drop("file_name")
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
@@ -219,5 +218,5 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
         "name string, description string, version string, status string, "
         "rounds array<struct<name string, prompt string, max_tokens int>>"
     )
-    raw = _json(spark, path, ddl, "*_analysis.json").withColumn("file_name", F.col("_metadata.file_name"))
+    raw = _json(spark, path, ddl, "*_analysis.json")
     return split_corrupt(raw)[0].withColumn("name", F.coalesce("name", "file_name"))
