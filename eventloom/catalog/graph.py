@@ -8,6 +8,7 @@ from ..functions.maps import merge_maps
 from ..operators import equivalence as eq
 from ..operators import filters as fl
 from ..operators import graph as g
+from ..session import cut
 from ..sources import tables as t
 from .registry import EDGES, MENTIONS, NODES, RESOLVED, query, r6
 
@@ -32,7 +33,7 @@ SELECT node_type AS type, lower(arg_min(name, useq)) AS lname, arg_min(timestamp
 FROM uniq GROUP BY node_type, lower(name)""")
 def node_upsert(spark, sf):
     nodes = fl.complete_nodes(_unique_nodes(spark, sf))
-    base, _more = g.upsert_nodes(nodes, g.exact_entities(nodes))
+    base, _more = g.upsert_nodes(g.place_nodes(nodes, cut(g.exact_entities(nodes))))
     return base.select(
         "type", F.lower("name").alias("lname"), "timestamp", "document_id", "mentions",
         F.try_element_at("attributes", F.lit("brand")).alias("brand"),
@@ -46,7 +47,7 @@ FROM uniq u JOIN f ON f.node_type = u.node_type AND f.lname = lower(u.name)
 WHERE useq <> first AND document_id <> doc GROUP BY u.node_type, f.lname""")
 def node_further_sources(spark, sf):
     nodes = _unique_nodes(spark, sf)
-    base, more = g.upsert_nodes(nodes, g.exact_entities(nodes))
+    base, more = g.upsert_nodes(g.place_nodes(nodes, cut(g.exact_entities(nodes))))
     names = base.select("node_id", "type", F.lower("name").alias("lname"))
     return (
         more.groupBy("node_id")
@@ -59,10 +60,10 @@ def node_further_sources(spark, sf):
 def _graph(spark, sf):
     """Upserted graph by equal names: nodes and edges."""
     nodes = t.kg_nodes(spark, sf)
-    entities = g.exact_entities(nodes)
-    base, _ = g.upsert_nodes(nodes, entities)
+    placed = g.place_nodes(nodes, cut(g.exact_entities(nodes)))
+    base, _ = g.upsert_nodes(placed)
     edges = fl.complete_edges(t.kg_edges(spark, sf))
-    linked = g.link_edges(edges, nodes, entities)
+    linked = g.link_edges(edges, placed)
     return base, linked
 
 

@@ -168,24 +168,21 @@ def signature_candidates(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def observation_partials(observations: DataFrame, keys: list[str]) -> DataFrame:
-    """Additive sums per (key, bias, source) of (source_name, source_bias, date_raw) rows.
+    """Additive counts per (key, bias, source, date) of (source_name, source_bias, date_raw) rows.
 
     Partials of several batches can simply be stacked: :func:`weights_from_partials` adds them up.
     """
     bias = F.nullif(F.col("source_bias"), F.lit(""))
-    return observations.groupBy(*keys, bias.alias("bias"), "source_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("date_raw").alias("dated"),
-        F.min("date_raw").alias("lo"),
-        F.max("date_raw").alias("hi"),
+    return observations.groupBy(*keys, bias.alias("bias"), "source_name", "date_raw").agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 
 def event_weights(observations: DataFrame, keys: list[str]) -> DataFrame:
     """Weight, diversity and confidence per event from (source_name, source_bias, date_raw).
 
-    Rows shrink to one per (key, bias, source) before the distinct counts; date agreement only
-    needs the extreme dates and a null count.
+    Rows shrink to counts before the distinct counts are taken; every step is a hash aggregate
+    that combines before its shuffle, so an event with most of the observations is no hot task.
     """
     return weights_from_partials(observation_partials(observations, keys), keys)
 
@@ -193,16 +190,14 @@ def event_weights(observations: DataFrame, keys: list[str]) -> DataFrame:
 def weights_from_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
     grouped = partials.groupBy(*keys).agg(
         F.sum("n").alias("source_count"),
-        F.sum("dated").alias("dated"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
         F.count_distinct("bias").alias("biases"),
         F.count_distinct("source_name").alias("named"),
+        F.count_distinct("date_raw").alias("dates"),
         F.max(F.col("source_name").isNull().cast("int")).alias("unnamed"),
+        F.max(F.col("date_raw").isNull().cast("int")).alias("undated"),
     )
-    consistent = (F.col("dated") == 0) | (
-        (F.col("dated") == F.col("source_count")) & (F.col("lo") == F.col("hi"))
-    )
+    # a missing date counts as one more value
+    consistent = F.col("dates") + F.col("undated") <= 1
     diversity = F.col("biases") / F.col("source_count")
     consistency = F.when(consistent, 1.0).otherwise(0.5)
     return grouped.select(

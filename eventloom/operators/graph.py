@@ -13,6 +13,7 @@ from ..session import cut
 from .matching import containment_pairs, first_fit
 
 LOOK_AHEAD = 4
+EDGE_FIELDS = ("timestamp", "evidence_quote", "document_id", "attributes")
 MAX_DAYS = 30
 
 
@@ -79,34 +80,38 @@ def exact_entities(nodes: DataFrame) -> DataFrame:
     )
 
 
-def upsert_nodes(nodes: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Graph nodes and their further sources.
+def place_nodes(nodes: DataFrame, entities: DataFrame) -> DataFrame:
+    """Payload nodes with the graph node they belong to, written once: node and edge upserts read
+    it several times."""
+    placed = nodes.withColumn("norm", normalized_name(F.col("name"))).join(entities, ["node_type", "norm"])
+    return cut(placed.drop("norm"))
+
+
+def upsert_nodes(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graph nodes and their further sources, from :func:`place_nodes`.
 
     The first mention gives name, time, document and sentence; attributes are filled first-wins;
     later mentions from another document become rows of the second frame.
     """
-    keyed = nodes.withColumn("norm", normalized_name(F.col("name"))).join(entities, ["node_type", "norm"])
-    # read four times below: write the joined rows once instead of joining four times
-    keyed = cut(keyed.drop("norm"))
-    fields = [c for c in ("name", "timestamp", "document_id", "source_sentence") if c in nodes.columns]
+    fields = [c for c in ("name", "timestamp", "document_id", "source_sentence") if c in placed.columns]
     # counts and first places fit a hash aggregate; the few first rows are then looked up by place
-    heads = keyed.groupBy("node_id", "node_type").agg(
+    heads = placed.groupBy("node_id", "node_type").agg(
         F.min("node_seq").alias("node_seq"), F.count(F.lit(1)).alias("mentions")
     )
-    first = keyed.select("node_id", "node_seq", *fields).join(heads, ["node_id", "node_seq"])
+    first = placed.select("node_id", "node_seq", *fields).join(heads, ["node_id", "node_seq"])
     base = first.dropDuplicates(["node_id"]).select(
         "node_id", F.col("node_type").alias("type"), *fields, "mentions", "node_seq"
     )
-    if "attributes" in nodes.columns:
-        merged = merge_maps(keyed, ["node_id"], "attributes", F.col("node_seq"), last_wins=False)
+    if "attributes" in placed.columns:
+        merged = merge_maps(placed, ["node_id"], "attributes", F.col("node_seq"), last_wins=False)
         base = base.join(merged, "node_id", "left")
     first_doc = base.select("node_id", F.col("document_id").alias("_doc"), F.col("node_seq").alias("_first"))
-    more = keyed.join(first_doc, "node_id").where(
+    more = placed.join(first_doc, "node_id").where(
         (F.col("node_seq") != F.col("_first"))
         & F.col("document_id").isNotNull()
         & ~F.col("document_id").eqNullSafe(F.col("_doc"))
     )
-    sentence = F.col("source_sentence") if "source_sentence" in nodes.columns else F.lit(None).cast("string")
+    sentence = F.col("source_sentence") if "source_sentence" in placed.columns else F.lit(None).cast("string")
     return base, more.select("node_id", "document_id", sentence.alias("sentence"), "node_seq")
 
 
@@ -133,19 +138,18 @@ def edge_id(src: Column, relation: Column, dst: Column) -> Column:
     return F.concat(F.lit("edge_"), F.substring(F.sha2(key, 256), 1, 16))
 
 
-def link_edges(edges: DataFrame, nodes: DataFrame, entities: DataFrame) -> DataFrame:
-    """Edges between graph nodes: local ids to names to node ids, the last local node counting."""
+def link_edges(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """Edges between graph nodes: local ids to node ids, the last node of a local id counting.
+
+    Local ids are nearly unique, so nodes are shuffled before they are aggregated: one sort serves
+    the aggregate and both joins.
+    """
     ids = (
-        # local ids are nearly unique: shuffle first, so that there is one sort for the
-        # aggregate and the joins behind it instead of another one before the shuffle
-        nodes.where(F.col("local_id").isNotNull())
+        placed.where(F.col("local_id").isNotNull())
+        .select("analysis_id", "local_id", "node_seq", "node_id")
         .repartition("analysis_id", "local_id")
-        .withColumn("norm", normalized_name(F.col("name")))
         .groupBy("analysis_id", "local_id")
-        .agg(F.max_by(F.struct("node_type", "norm"), "node_seq").alias("k"))
-        .select("analysis_id", "local_id", "k.node_type", "k.norm")
-        .join(entities, ["node_type", "norm"])
-        .select("analysis_id", "local_id", F.col("node_id").alias("node"))
+        .agg(F.max_by("node_id", "node_seq").alias("node"))
     )
     src = ids.withColumnsRenamed({"local_id": "source_id", "node": "src"})
     dst = ids.withColumnsRenamed({"local_id": "target_id", "node": "dst"})
@@ -158,16 +162,18 @@ def upsert_edges(linked: DataFrame, digraph: bool = False) -> tuple[DataFrame, D
     With ``digraph`` only the relation seen last stands per (src, dst).
     """
     key = ["src", "relation", "dst"]
-    rows = linked
+    # read up to five times below: write the resolved edges once
+    rows = cut(linked.select(*key, "edge_seq", *[c for c in EDGE_FIELDS if c in linked.columns]))
     if digraph:
-        last = linked.groupBy("src", "dst").agg(F.max_by("relation", "edge_seq").alias("relation"))
-        rows = linked.join(last, key, "left_semi")
+        last = rows.groupBy("src", "dst").agg(F.max_by("relation", "edge_seq").alias("relation"))
+        rows = rows.join(last, key, "left_semi")
     fields = [c for c in ("timestamp", "evidence_quote", "document_id") if c in rows.columns]
-    heads = rows.groupBy(*key).agg(F.min("edge_seq").alias("edge_seq"), F.count(F.lit(1)).alias("mentions"))
-    first = rows.select(*key, "edge_seq", *fields).join(heads, [*key, "edge_seq"]).dropDuplicates(key)
-    base = first.select(
-        edge_id(*[F.col(c) for c in key]).alias("edge_id"), *key, *fields, "mentions", "edge_seq"
-    )
+    # keys are nearly unique here, so looking up first rows by place would cost another shuffle
+    base = rows.groupBy(*key).agg(
+        F.min_by(F.struct(*fields), "edge_seq").alias("first"),
+        F.count(F.lit(1)).alias("mentions"),
+        F.min("edge_seq").alias("edge_seq"),
+    ).select(edge_id(*[F.col(c) for c in key]).alias("edge_id"), *key, "first.*", "mentions", "edge_seq")
     if "attributes" in rows.columns:
         merged = merge_maps(rows, key, "attributes", F.col("edge_seq"), last_wins=False)
         base = base.join(merged, key, "left")
@@ -213,33 +219,37 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     relations = edges.groupBy(F.coalesce("relation", F.lit("unknown")).alias("name")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    tagged = types.select(F.lit("node_type").alias("section"), "name", "n").union(
-        relations.select(F.lit("relation").alias("section"), "name", "n")
+    spark = nodes.sparkSession
+    start = spark.range(1).select(F.lit("graph").alias("section"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("n"))
+    tagged = (
+        types.select(F.lit("node_type").alias("section"), "name", "n")
+        .union(relations.select(F.lit("relation").alias("section"), "name", "n"))
+        .union(start)
     )
-    # every figure comes from the few group rows above, not from another pass over the graph
-    totals = tagged.agg(
-        F.coalesce(F.sum(F.when(F.col("section") == "node_type", F.col("n"))), F.lit(0)).alias("nodes"),
-        F.coalesce(F.sum(F.when(F.col("section") == "relation", F.col("n"))), F.lit(0)).alias("edges"),
+    # group rows and grand total come from one pass; the extra row gives an empty graph its total
+    totalled = tagged.groupingSets([["section", "name"], []], "section", "name").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("section") == "node_type", F.col("n")).otherwise(0)).alias("nodes"),
+        F.sum(F.when(F.col("section") == "relation", F.col("n")).otherwise(0)).alias("edges"),
+        F.grouping("section").alias("is_total"),
     )
     density = F.when(
         F.col("nodes") > 1, F.col("edges") / (F.col("nodes").cast("double") * (F.col("nodes") - 1))
     ).otherwise(0.0)
 
-    def fact(name: str, value: Column) -> Column:
-        return F.struct(
-            F.lit("graph").alias("section"), F.lit(name).alias("name"), value.cast("double").alias("value")
-        )
+    def fact(section: Column, name: Column, value: Column) -> Column:
+        return F.struct(section.alias("section"), name.alias("name"), value.cast("double").alias("value"))
 
-    summary = totals.select(
-        F.inline(
-            F.array(
-                fact("node_count", F.col("nodes")),
-                fact("edge_count", F.col("edges")),
-                fact("density", density),
-            )
-        )
-    )
-    return tagged.select("section", "name", F.col("n").cast("double").alias("value")).union(summary)
+    total = F.lit("graph")
+    facts = F.when(
+        F.col("is_total") == 1,
+        F.array(
+            fact(total, F.lit("node_count"), F.col("nodes")),
+            fact(total, F.lit("edge_count"), F.col("edges")),
+            fact(total, F.lit("density"), density),
+        ),
+    ).when(F.col("section") != "graph", F.array(fact(F.col("section"), F.col("name"), F.col("n"))))
+    return totalled.select(F.inline(facts))
 
 
 def undeclared_types(nodes: DataFrame, edges: DataFrame, taxonomy: DataFrame) -> DataFrame:

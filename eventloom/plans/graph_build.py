@@ -57,10 +57,11 @@ def build_graph(
         "attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>"))
     )
     entities = cut(g.resolve_entities(nodes, existing_nodes))
-    base, more_sources = g.upsert_nodes(nodes, entities)
+    placed = g.place_nodes(nodes, entities)
+    base, more_sources = g.upsert_nodes(placed)
     edges = fl.complete_edges(numbered_edges(usable)).join(published, "analysis_id")
     edges = edges.withColumn("timestamp", F.coalesce("timestamp", "_published")).drop("_published")
-    graph_edges, more_evidence = g.upsert_edges(g.link_edges(edges, nodes, entities), digraph)
+    graph_edges, more_evidence = g.upsert_edges(g.link_edges(edges, placed), digraph)
     if temporal:
         graph_edges = add_temporal(base, graph_edges)
     return KnowledgeGraph(base, graph_edges, more_sources, more_evidence)
@@ -88,7 +89,7 @@ def fold_unified(nodes: DataFrame, edges: DataFrame, result: EventAggregation) -
     )
     known = nodes.select(F.col("type").alias("node_type"), "name", "node_seq", "node_id")
     entities = cut(g.resolve_entities(incoming, known))
-    base, _ = g.upsert_nodes(incoming, entities)
+    base, _ = g.upsert_nodes(g.place_nodes(incoming, entities))
     folded = g.fold_nodes(nodes, base)
     # one edge row per unified edge, its ends looked up by type and name
     ids = entities.select(F.col("node_type").alias("_t"), F.col("norm").alias("_n"), "node_id")
