@@ -338,5 +338,5 @@ def fuzzy_pairs(spark, sf):
         )
 
     pairs = side(1, F.col("turn")).join(side(2, F.col("turn") - 1), ["conv_id", "turn"])
-    scored = ev.score_pairs(pairs, threshold=0.4)
+    scored = ev.score_pairs(pairs, threshold=0.3)
     return scored.select("conv_id", "turn", r6("name_score").alias("name_score"), r6("score").alias("score"))
