@@ -68,6 +68,8 @@ def resolve_entities(nodes: DataFrame, existing: DataFrame | None = None) -> Dat
         fresh = known.unionByName(
             fresh.join(known.select("node_type", "norm"), ["node_type", "norm"], "left_anti")
         )
+    # the distinct names are read in every round: take them out of the nodes once
+    fresh = cut(fresh)
     led = first_fit(fresh.select("ord", "fixed"), containment_pairs(fresh))
     ids = fresh.select(F.col("ord").alias("leader"), "node_id")
     return fresh.drop("node_id").join(led, "ord").join(ids, "leader").select("node_type", "norm", "node_id")

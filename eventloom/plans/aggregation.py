@@ -12,6 +12,7 @@ from ..operators import document_events as doc
 from ..operators import equivalence as eq
 from ..operators import events as ev
 from ..operators.graph import content_digest
+from ..session import cut
 
 
 def numbered_mentions(analyses: DataFrame, titles: bool = False, normalize: bool = False) -> DataFrame:
@@ -52,10 +53,13 @@ class EventAggregation:
 
 
 def aggregate_events(analyses: DataFrame, dedupe_mentions: bool = False) -> EventAggregation:
-    """Match events over analyses, consolidate each event's graph, unify over events."""
-    return aggregate_frames(
-        numbered_mentions(analyses), numbered_nodes(analyses), numbered_edges(analyses), dedupe_mentions
-    )
+    """Match events over analyses, consolidate each event's graph, unify over events.
+
+    The nodes are taken out of the nested analyses once; four steps read them.
+    """
+    columns = ["analysis_id", "node_seq", "local_id", "node_type", "name", "confidence", "timestamp", "attributes"]
+    nodes = cut(numbered_nodes(analyses).select(*columns))
+    return aggregate_frames(numbered_mentions(analyses), nodes, numbered_edges(analyses), dedupe_mentions)
 
 
 def aggregate_frames(
@@ -104,10 +108,12 @@ def aggregate_documents(analyses: DataFrame) -> DocumentGraph:
     Payload edges are resolved to names before they enter the graph; an event endpoint stands for
     the merged event its mention went into.
     """
-    mentions = numbered_mentions(analyses, titles=True, normalize=True)
-    assigned = doc.clusters(mentions)
-    events = doc.merged_events(mentions, assigned)
-    nodes, edges = numbered_nodes(analyses), numbered_edges(analyses)
+    # each of these is read by several steps below
+    mentions = cut(numbered_mentions(analyses, titles=True, normalize=True))
+    assigned = cut(doc.clusters(mentions))
+    events = cut(doc.merged_events(mentions, assigned))
+    nodes = cut(numbered_nodes(analyses).select("analysis_id", "document_id", "node_seq", "local_id", "node_type", "name"))
+    edges = numbered_edges(analyses)
 
     heads = events.select("cluster", F.col("name").alias("event_name"))
     told = mentions.where("origin = 1").join(assigned, "mention_seq").join(heads, "cluster").select(
@@ -134,6 +140,7 @@ def aggregate_documents(analyses: DataFrame) -> DocumentGraph:
         .unionByName(raw)
         .distinct()
     )
+    links = cut(links)
     performed = links.where("relation = 'performs' and dst_type = 'event'").join(
         events.select("document_id", F.col("name").alias("dst_name"), F.col("date_raw").alias("timestamp"), "cluster"),
         ["document_id", "dst_name"],
