@@ -7,18 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import article_id, url_netloc
-from .ordered import running_sums
+from .ordered import ranks, running_sums
 
 BREAKER_FAILURES = 5
 RECOVERY_ATTEMPTS = 50
 
 
-def limit_per_source(entries: DataFrame, limit: int) -> DataFrame:
+def limit_per_source(entries: DataFrame, limit: int, pruned_up_to: int = 1000) -> DataFrame:
     """First ``limit`` entries of each source in feed order.
 
     A row-number limit is applied by Spark before and after the shuffle, so a source of any size
-    sends at most ``limit`` rows per task.
+    sends at most ``limit`` rows per task. Spark does so for limits of at most ``pruned_up_to``
+    (``spark.sql.optimizer.windowGroupLimitThreshold``); above that, places are counted in blocks.
     """
+    if limit > pruned_up_to:
+        return ranks(entries, ["source"], ["pos"], "_rn").where(F.col("_rn") <= limit).drop("_rn")
     w = W.partitionBy("source").orderBy("pos")
     return entries.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
 

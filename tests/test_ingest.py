@@ -29,6 +29,14 @@ def test_circuit_breaker(spark, outcomes, limit, kept):
     assert {r.source: r["count"] for r in got.collect()} == {"s": kept, "t": 1}
 
 
+def test_source_limit_small_and_large(spark):
+    df = spark.createDataFrame([("hot" if i % 3 else "cold", i) for i in range(90)], "source string, pos long")
+    for limit in (7, 40):
+        plain = {tuple(r) for r in ing.limit_per_source(df, limit).collect()}
+        assert plain == {tuple(r) for r in ing.limit_per_source(df, limit, pruned_up_to=1).collect()}
+        assert len(plain) == min(limit, 60) + min(limit, 30)
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("https://a.com/2024/x",), ("https://a.com/TAG/x",), ("https://a.com/tag/x",), ("https://a.com/a.pdf",)], "u string")
     assert [r[0] for r in df.select(fl.is_article_url(F.col("u"))).collect()] == [True, False, False, False]
