@@ -44,7 +44,7 @@ BITS = 64
 ERRORS = 2
 
 CHUNK = BITS // (ERRORS + 1)  # bits that a trie's top chunk agrees on
-BLOCK = 2_048  # fingerprints of a sub-trie that one task compares with one another
+BLOCK = 8_192  # fingerprints of a sub-trie that one task compares with one another
 HELD = 100_000  # fingerprints of whole sub-tries that a task traverses together
 SHINGLES_AT_ONCE = 1 << 16
 
