@@ -38,7 +38,7 @@ from eventloom.session import cut
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
+    "ip": r"[0-9](?<![0-9]{2})[0-9]*+(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -46,8 +46,8 @@ OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
 
 GENERATORS = {
     "number": r"(?:[+(]\x20?)?[0-9](?:[\x20().+-]*+[0-9]){6,}+",
-    "address": r"[^\s@]*+@\S*+|[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9.-]++",
-    "groups": r"(?<![0-9A-Fa-f.:])[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{1,4}){3,}+",
+    "address": r"(?:(?<![^\s@])|\G)[^\s@]*+@\S*+|[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9.-]++",
+    "groups": r"[0-9A-Fa-f]{1,4}+(?:[.:][0-9A-Fa-f]{1,4}+){3,}+",
 }
 CONTEXTS = {  # words before a candidate
     1: r"(?i)(?:mail|contact|write|e-mail)\W*$",
@@ -142,14 +142,15 @@ def _features(generator: int, value: Column, before: Column, after: Column) -> C
 def _matches(text: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Adds g_<name> (texts between matches) and m_<name> (matches) for each pattern."""
     t = F.col("body")
-    number, at = t.rlike("[0-9]"), t.contains("@")
-    gate = {"email": at, "address": at | t.contains("at]") | t.contains("at)"), "phone": t.contains("+"), "ip": number,
-            "card": number, "number": number, "groups": number | t.contains(":")}
+    seen = {"number": t.rlike("[0-9]"), "at": t.contains("@"), "spelled": t.rlike(r"at[\])]"), "plus": t.contains("+"), "colon": t.contains(":")}
+    text = text.select("row", "body", *[c.alias(n) for n, c in seen.items()])
+    number, at, spelled, plus, colon = map(F.col, seen)
+    gate = {"email": at, "address": at | spelled, "phone": plus, "ip": number, "card": number, "number": number, "groups": number | colon}
     columns = []
     for name, pattern in patterns.items():
-        seen = F.when(gate[name], t)
-        found = F.regexp_extract_all(seen, F.lit(pattern), F.lit(0))
-        columns += [F.split(seen, pattern, -1).alias(f"g_{name}"), found.alias(f"m_{name}")]
+        body = F.when(gate[name], t)
+        found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+        columns += [F.split(body, pattern, -1).alias(f"g_{name}"), found.alias(f"m_{name}")]
     return text.select("row", *columns)
 
 
