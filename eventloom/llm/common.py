@@ -128,3 +128,18 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
     tied = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return tied.union(edges.select(F.col("v"), F.col("v")).distinct())
+
+
+LABELS_BROADCAST = 2_000_000  # rows of 16 bytes: 32 MB
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold_: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """text, y (0 or 1), fold and id of the documents with a label; of several labels the largest.
+
+    Labels are broadcast when their counted rows fit ``LABELS_BROADCAST``; beyond, Spark shuffles both.
+    """
+    y = labels.filter(labels[label].isin(0, 1)).groupBy(labels["doc_id"].alias("labelled_id")).agg(F.max(label).alias("y"))
+    if labels.count() <= LABELS_BROADCAST:
+        y = F.broadcast(y)
+    narrow = docs.select(docs[doc_id].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"), fold_.alias("fold"))
+    return narrow.join(y, narrow["id"] == y["labelled_id"]).select("id", "text", "fold", F.col("y").cast("int").alias("y"))

@@ -155,7 +155,7 @@ class Model:
         return out
 
 
-def fit(texts: DataFrame, classes: int, order: int, bits: int, shared: bool = False) -> Model:
+def fit(texts: DataFrame, classes: int, order: int, bits: int, shared: int = 0) -> Model:
     """Model of ``texts`` (text, cls from 0): interpolated Kneser-Ney over the summed slots."""
     rows = count_grams(texts, classes, order, bits).toPandas()
     slots, counts, suffix, context = [], [], [], []
@@ -185,7 +185,7 @@ def fit(texts: DataFrame, classes: int, order: int, bits: int, shared: bool = Fa
         np.add.at(cont, at[at >= 0], (counts[n - 1] > 0)[at >= 0].astype(float))
         # grams at a word's start have no left neighbour; they keep their counts
         used[n - 2] = np.where(cont > 0, cont, np.minimum(counts[n - 2], 1.0))
-        if shared:
+        if n - 1 <= shared:
             used[n - 2] = np.repeat(used[n - 2].sum(axis=1, keepdims=True), classes, axis=1)
     size = max(len(slots[0]), 1) + 1
     total = used[0].sum(axis=0) + size

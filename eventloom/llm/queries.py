@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from eventloom.llm import arrow_ids, decontaminate, language, pieces, pii, simhash, token_counts
+from eventloom.llm import arrow_ids, decontaminate, language, pieces, pii, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_sentencepiece": pieces.query,
     "op3_pii": pii.query,
+    "op5_toxicity": toxicity.query,
     "op6_arrow_ids": arrow_ids.query,
+    "op7_quality": quality.query,
     "op8_language": language.query,
     "op9_simhash": simhash.query,
     "op10_decontamination": decontaminate.query,
