@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from eventloom.llm import arrow_ids, decontaminate, language, pieces, pii, quality, simhash, token_counts, toxicity
+from eventloom.llm import arrow_ids, decontaminate, hnsw, language, pieces, pii, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_sentencepiece": pieces.query,
     "op3_pii": pii.query,
+    "op4_hnsw": hnsw.query,
     "op5_toxicity": toxicity.query,
     "op6_arrow_ids": arrow_ids.query,
     "op7_quality": quality.query,
