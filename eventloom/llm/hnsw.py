@@ -268,7 +268,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         "vec", "rep", "embedding", F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(blocks)).alias("block"),
         F.explode(F.sequence(size, size + shards - 1)).alias("shard"),
     )
-    offered = indexes.select("shard", "packed", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    offered = indexes.select("shard", "packed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     answers = cut(
         asked.groupBy("shard", "block")
         .cogroup(offered.groupBy("shard", "block"))
