@@ -27,6 +27,8 @@ rows, ordered by text. An empty table gives no files. Other columns are not look
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,48 +41,61 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import table
+from eventloom.llm.token_counts import unbyte
 from eventloom.session import cut, fresh_dir
 
 LENGTH = 1_024  # ids of a sequence
 ROWS = 256  # sequences of a record batch
-MEMO = 300_000  # splits that a worker remembers
-# Characters on which the library's Unicode tables and those used here may differ (a test compares the others).
-ODD = "[\x1c-\x1f\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u180e\u2080-\U0010ffff]"
+MEMO = 600_000  # splits that a worker remembers
+KNOWN = 0x2080  # texts with characters from here on go to the library whole
+# Characters below ``KNOWN`` on which the library's Unicode tables and Python's may differ (a test compares the others).
+ODD = "\x1c-\x1f\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u180e\u1c89\u1c8a"
 
 
-class Encoder:
+def _class(kind: str) -> str:
+    """Characters below ``KNOWN`` of a Unicode category, for a bracket expression."""
+    return "".join(re.escape(chr(c)) for c in range(KNOWN) if unicodedata.category(chr(c))[0] == kind)
+
+
+class Encoder(dict):
+    """split -> packed ids, by the library's model; unknown splits are encoded when first asked for."""
+
     def __init__(self, content: str, end: int):
-        import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(content)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters, numbers = _class("L"), _class("N")
         # the pre-tokenizer's published pattern
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.odd = regex.compile(ODD)
+        self.split = re.compile(
+            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
+        )
+        self.odd = re.compile(f"[{ODD}{chr(KNOWN)}-\U0010ffff]|" + "|".join(map(re.escape, self.special)))
+        self.alphabet = {byte: character for character, byte in unbyte().items()}
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4")
         self.end = np.array([end], self.type).tobytes()
-        self.memo: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.type).tobytes() for e in found]
+    def __missing__(self, split: str) -> bytes:
+        tokens = self.model.tokenize(split.encode().decode("latin-1").translate(self.alphabet))
+        packed = self[split] = np.array([t.id for t in tokens], self.type).tobytes()
+        return packed
 
     def encode(self, texts) -> list[bytes]:
         """Ids of each text with the end id, packed."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        lists = [
-            None if self.odd.search(t) or any(s in t for s in self.special) else self.split.findall(t)
-            for t in (t or "" for t in texts)
-        ]
-        new = list({s for x in lists if x for s in x if s not in memo})
-        memo.update(zip(new, self.whole(new)))
-        return [
-            (self.whole([t])[0] if x is None else b"".join(map(memo.__getitem__, x))) + self.end
-            for t, x in zip(texts, lists)
-        ]
+        if len(self) > MEMO:
+            self.clear()
+        found = []
+        for text in texts:
+            text = text or ""
+            if self.odd.search(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                packed = np.array(ids, self.type).tobytes()
+            else:
+                packed = b"".join(map(self.__getitem__, self.split.findall(text)))
+            found.append(packed + self.end)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -191,7 +206,8 @@ def read_ids(files_written: DataFrame, folder: str) -> DataFrame:
                         columns = {"doc_id": ids, "start": starts + first, "n_tokens": counts, "ids_crc32": crcs}
                         yield pd.DataFrame(columns)
 
-    return placed.repartition("part").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = int(files_written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, "part").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
