@@ -42,7 +42,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
+OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
 
 GENERATORS = {
     "number": r"(?:[+(]\x20?)?[0-9](?:[\x20().+-]*+[0-9]){6,}+",
@@ -131,7 +131,7 @@ def _features(generator: int, value: Column, before: Column, after: Column) -> C
         F.lit(generator).alias("generator"),
         bin_.alias("digits"),
         F.when(letters == 0, 0).when(letters > digits, 2).otherwise(1).alias("letters"),
-        F.least(F.size(F.regexp_extract_all(value, F.lit("[A-Za-z0-9]+"), F.lit(0))) - 1, F.lit(5)).alias("parts"),
+        F.greatest(F.least(F.size(F.regexp_extract_all(value, F.lit("[A-Za-z0-9]+"), F.lit(0))) - 1, F.lit(5)), F.lit(0)).alias("parts"),
         marks.alias("marks"),
         first.alias("first"),
         context.alias("context"),
@@ -161,7 +161,7 @@ def _starts(name: str) -> Column:
 
 
 SPAN = "array<struct<start:int,kind_no:int,end:int>>"
-CANDIDATE = "array<struct<start:int,end:int,label:boolean,f:struct<" + ",".join(f"{f}:int" for f in FEATURES) + ">>>"
+CANDIDATE = "array<struct<start:int,end:int,label:boolean,half:int,f:struct<" + ",".join(f"{f}:int" for f in FEATURES) + ">>>"
 
 
 def scan(docs: DataFrame, row: Column, text: Column) -> DataFrame:
@@ -192,6 +192,7 @@ def scan(docs: DataFrame, row: Column, text: Column) -> DataFrame:
                 start(n, i).alias("start"),
                 (start(n, i) + F.length(v)).alias("end"),
                 _holds(F.lit(code), v).alias("label"),
+                (F.crc32(v.cast("binary")) % 2).cast("int").alias("half"),  # equal candidates are in one half
                 _features(code, v, F.right(F.get(gaps, i), F.lit(24)), F.left(F.get(gaps, i + 1), F.lit(4))).alias("f"),
             ),
         )
@@ -248,8 +249,8 @@ def _apply(node, x: np.ndarray) -> np.ndarray:
 
 def fit(scanned: DataFrame) -> Model:
     """Fit and calibrate on the counts of all candidates by feature cell (at most 2 x ``CELLS`` rows)."""
-    each = scanned.select(F.explode("candidates").alias("c")).select("c.f.*", "c.label", F.crc32(F.concat_ws(":", "c.start", "c.end")).alias("r"))
-    cells = each.groupBy(*FEATURES, (F.col("r") % 2).alias("half")).agg(F.count("*"), F.sum(F.col("label").cast("int"))).collect()
+    each = scanned.select(F.explode("candidates").alias("c")).select("c.f.*", "c.label", "c.half")
+    cells = each.groupBy(*FEATURES, "half").agg(F.count("*"), F.sum(F.col("label").cast("int"))).collect()
     data = np.array([tuple(c) for c in cells], np.int64).reshape(-1, len(FEATURES) + 3)
     x, half, n, positive = data[:, :-3], data[:, -3], data[:, -2].astype(float), data[:, -1].astype(float)
     use = half == 0
