@@ -238,13 +238,15 @@ def _answer(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFr
         label = union_roots(len(nodes), np.r_[a, np.arange(len(nodes))], np.r_[b, label])
     tied = np.flatnonzero(label != np.arange(len(nodes)))
     hit = np.flatnonzero(links)
-    return pd.concat(
-        [
-            pd.DataFrame({"vec": queries["vec"].to_numpy()[hit], "links": links[hit]}),
-            pd.DataFrame({"a": nodes[tied], "b": nodes[label[tied]]}),
-        ],
-        ignore_index=True,
-    ).astype({"links": "Int64", "a": "Int64", "b": "Int64"})[list(empty.columns)]
+    none_a, none_b = [None] * len(hit), [None] * len(tied)
+    return pd.DataFrame(
+        {
+            "vec": pd.Series([*queries["vec"].to_numpy()[hit], *none_b], dtype=object),
+            "links": pd.Series([*links[hit].tolist(), *none_b], dtype="Int64"),
+            "a": pd.Series([*none_a, *nodes[tied].tolist()], dtype="Int64"),
+            "b": pd.Series([*none_a, *nodes[label[tied]].tolist()], dtype="Int64"),
+        }
+    )
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
