@@ -220,9 +220,8 @@ def _index(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _answer(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """(vec, links) of each query with links in the shard, and links (a, b) that span its components."""
-    empty = pd.DataFrame({"vec": [], "links": [], "a": [], "b": []})
     if not len(queries) or not len(index):
-        return empty
+        return pd.DataFrame({"vec": [], "links": [], "a": [], "b": []}, dtype=object)
     with np.load(io.BytesIO(index["packed"].iloc[0])) as z:
         x, rep, copies, entry = z["x"], z["rep"], z["copies"], int(z["entry"])
         near = [z[f"arr_{i}"] for i in range(sum(name.startswith("arr_") for name in z.files))]
@@ -242,9 +241,9 @@ def _answer(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFr
     return pd.DataFrame(
         {
             "vec": pd.Series([*queries["vec"].to_numpy()[hit], *none_b], dtype=object),
-            "links": pd.Series([*links[hit].tolist(), *none_b], dtype="Int64"),
-            "a": pd.Series([*none_a, *nodes[tied].tolist()], dtype="Int64"),
-            "b": pd.Series([*none_a, *nodes[label[tied]].tolist()], dtype="Int64"),
+            "links": pd.Series([*links[hit].tolist(), *none_b], dtype=object),
+            "a": pd.Series([*none_a, *nodes[tied].tolist()], dtype=object),
+            "b": pd.Series([*none_a, *nodes[label[tied]].tolist()], dtype=object),
         }
     )
 
