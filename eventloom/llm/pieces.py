@@ -11,7 +11,8 @@ parts, cut before each run of marks; frequent parts are searched once per worker
 ``Codec`` checks this of the model and takes the text as one part where it does not hold.
 
 Scale: one scan, no shuffle. The pieces are read on the driver and broadcast (32,000 in the model
-used here, the size of the file in any case). A worker holds one text and its ids at a time.
+used here, the size of the file in any case). Encoding and decoding share one Python worker, which
+sends its rows back ``ROWS`` at a time.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Decoding gives the
 text back, but for the mark itself, which reads as a space. Repeated rows and ids are rows like
@@ -21,7 +22,6 @@ others, an empty table gives an empty result, other columns stay as they are.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,13 +30,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from eventloom.llm.common import table
 
 MARK = "▁"
 UNKNOWN = 10.0
-MEMO = 300_000  # parts that a worker remembers
+MEMO = 200_000  # parts that a worker remembers
+ROWS = 1_000
 
 
 def read_model(path: str) -> dict:
@@ -66,7 +67,7 @@ class Codec:
         self.written |= {i: bytes([b]) for b, i in self.of_byte.items()}
         apart = all(MARK not in piece.lstrip(MARK) for piece, _, _ in model["pieces"])
         self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if apart else "(?s:.+)")
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -77,11 +78,11 @@ class Codec:
         for part in self.part.findall(MARK + text.replace(" ", MARK)):
             ids = memo.get(part)
             if ids is None:
-                ids = self.best(part)
+                ids = self.best(part).tobytes()
                 if len(part) < 64:
                     memo[part] = ids
             found.append(ids)
-        return np.concatenate(found)
+        return np.frombuffer(b"".join(found), np.int32)
 
     def best(self, part: str) -> np.ndarray:
         """Ids of the best segmentation of one part."""
@@ -133,6 +134,12 @@ def _codec(model) -> Codec:
     return _CODECS[path]
 
 
+def _rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at : at + ROWS]
+
+
 class Pieces:
     """Column functions of one model."""
 
@@ -141,15 +148,21 @@ class Pieces:
 
         @pandas_udf(ArrayType(IntegerType()))
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
+            for batch in _rows(batches):
                 yield pd.Series([_codec(model).encode(t) for t in batch], dtype=object)
 
         @pandas_udf(StringType())
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
+            for batch in _rows(batches):
                 yield pd.Series([_codec(model).decode(ids) for ids in batch], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        @pandas_udf("ids array<int>, decoded string")
+        def transcode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in _rows(batches):
+                ids = [_codec(model).encode(t) for t in batch]
+                yield pd.DataFrame({"ids": ids, "decoded": [_codec(model).decode(x) for x in ids]})
+
+        self._encode, self._decode, self._transcode = encode, decode, transcode
 
     def encode(self, text: Column) -> Column:
         """array<int> of piece ids."""
@@ -159,23 +172,20 @@ class Pieces:
         """Text of an array of piece ids."""
         return self._decode(ids)
 
-
-@pandas_udf(LongType())
-def ids_crc32(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unsigned crc32 of ids as little-endian 32-bit integers."""
-    for batch in batches:
-        yield pd.Series([zlib.crc32(np.asarray(ids, "<i4").tobytes()) for ids in batch], dtype=np.int64)
+    def transcode(self, text: Column) -> Column:
+        """Struct of ids and of the text that they decode to."""
+        return self._transcode(text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 and whether decoding gives the text back, of every document."""
+    """doc_id, n_tokens, ids_hash (xxhash64 of the ids) and whether decoding gives the text back."""
     import public_tokenizers
 
-    pieces = Pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encode(F.col("text")).alias("ids"))
+    codec = Pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = table(spark, sf_dir, "documents").select("doc_id", "text", codec.transcode(F.col("text")).alias("c"))
     return encoded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_crc32("ids").alias("ids_crc32"),
-        (pieces.decode(F.col("ids")) == F.translate(F.coalesce("text", F.lit("")), MARK, " ")).alias("decoded"),
+        F.size("c.ids").cast("long").alias("n_tokens"),
+        F.xxhash64("c.ids").alias("ids_hash"),
+        (F.col("c.decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")).alias("decoded"),
     )
