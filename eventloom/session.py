@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +30,14 @@ def local_session(cores: str = "*", app: str = "eventloom", **conf: str) -> Spar
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        base = configured
-    else:
+    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, one below the
+    warehouse folder, which driver and executors share as well."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         current = spark.sparkContext.getCheckpointDir()
         if current is not None:
             return current
-        base = tempfile.mkdtemp(prefix="eventloom-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
