@@ -7,23 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import article_id, url_netloc
-from .ordered import ranks, running_sums
+from .ordered import join_by, ranks, running_sums
 
 BREAKER_FAILURES = 5
-RECOVERY_ATTEMPTS = 50
 
 
-def limit_per_source(entries: DataFrame, limit: int, pruned_up_to: int = 1000) -> DataFrame:
-    """First ``limit`` entries of each source in feed order.
+def limit_per_source(entries: DataFrame, limit: int) -> DataFrame:
+    """First ``limit`` entries of each source (null is one too) in feed order.
 
-    A row-number limit is applied by Spark before and after the shuffle, so a source of any size
-    sends at most ``limit`` rows per task. Spark does so for limits of at most ``pruned_up_to``
-    (``spark.sql.optimizer.windowGroupLimitThreshold``); above that, places are counted in blocks.
+    Places are counted in blocks, so a source of any size is split over tasks.
     """
-    if limit > pruned_up_to:
-        return ranks(entries, ["source"], ["pos"], "_rn").where(F.col("_rn") <= limit).drop("_rn")
-    w = W.partitionBy("source").orderBy("pos")
-    return entries.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+    return ranks(entries, ["source"], ["pos"], "_rn").where(F.col("_rn") <= limit).drop("_rn")
 
 
 def first_per_url(articles: DataFrame, order: str = "seq") -> DataFrame:
@@ -55,7 +49,7 @@ def circuit_breaker(
         else F.lit(None).cast("bigint").alias("_full"),
     )
     kept = F.coalesce(F.least("_trip", "_full"), F.lit(2**62))
-    return counted.join(stops, "source").where(F.col("_rank") <= kept).drop(
+    return join_by(counted, stops, ["source"]).where(F.col("_rank") <= kept).drop(
         "_rank", "_oks", "_trip", "_full"
     )
 
@@ -114,9 +108,9 @@ def analyzed_documents(analyses: DataFrame) -> DataFrame:
 
 
 def select_targets(
-    documents: DataFrame, analyses: DataFrame, target: str = "unanalyzed", since=None, cap: int | None = 20
+    documents: DataFrame, analyses: DataFrame, target: str = "unanalyzed", since=None, cap: int | None = None
 ) -> DataFrame:
-    """Documents for the next analysis batch, oldest id first, ``cap`` at most."""
+    """Documents for the next analysis batch, oldest id first; ``cap`` at most where one is given."""
     if target in ("recent", "all") and since is not None:
         chosen = documents.where(F.col("collected_at") >= F.lit(since))
     elif target == "recent":
@@ -132,14 +126,15 @@ def with_content(contents: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def recover_failed(
-    failed: DataFrame, candidates: DataFrame, attempts: int = RECOVERY_ATTEMPTS
+    failed: DataFrame, candidates: DataFrame, attempts: int | None = None
 ) -> DataFrame:
-    """First candidate page of the same host for each of the first ``attempts`` failed URLs.
+    """First candidate page of the same host for each failed URL, or the first ``attempts`` of them.
 
     The best candidate of a host is settled by aggregation before the join, so a host with many
     candidates or failures is no hot pair.
     """
-    tried = failed.orderBy("seq").limit(attempts).withColumn("host", url_netloc(F.col("url")))
+    tried = failed if attempts is None else failed.orderBy("seq").limit(attempts)
+    tried = tried.withColumn("host", url_netloc(F.col("url")))
     best = (
         candidates.withColumn("host", url_netloc(F.col("candidate_url")))
         .groupBy("host")

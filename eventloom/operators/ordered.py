@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+def join_by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which a null equals a null; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_by_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(renamed[f"_by_{k}"])
+    return left.join(renamed, on, how).drop(*[f"_by_{k}" for k in keys])
+
+
 def blocks(df: DataFrame, keys: list[str], order: list[str], count: int | None = None) -> DataFrame:
     """Add ``_block``, increasing along (keys, order). ``order`` should be unique within a key."""
     n = count or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -35,7 +44,7 @@ def running_sums(
         *keys, "_block", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums]
     )
     inside = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = blocked.join(offsets, [*keys, "_block"])
+    out = join_by(blocked, offsets, [*keys, "_block"])
     for name in sums:
         out = out.withColumn(name, F.col(f"_before_{name}") + F.sum(name).over(inside))
     return out.drop("_block", *[f"_before_{n}" for n in sums])
@@ -56,8 +65,7 @@ def with_next(df: DataFrame, keys: list[str], order: list[str], columns: list[st
     )
     inside = W.partitionBy(*keys, "_block").orderBy(*order)
     return (
-        blocked.withColumn("_next", F.lead(row).over(inside))
-        .join(following, [*keys, "_block"])
+        join_by(blocked.withColumn("_next", F.lead(row).over(inside)), following, [*keys, "_block"])
         .withColumn("next", F.coalesce("_next", "_head"))
         .drop("_block", "_next", "_head")
     )

@@ -38,10 +38,14 @@ def review_queue(analyses: DataFrame) -> DataFrame:
 
 
 def apply_decisions(analyses: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Set status, actor, time and notes from (analysis_id, approve, actor, decided_at, notes)."""
-    d = decisions.select(
-        "analysis_id", F.col("approve").alias("_ok"), F.col("actor").alias("_by"),
-        F.col("decided_at").alias("_at"), F.col("notes").alias("_notes"),
+    """Set status, actor, time and notes from the latest decision (analysis_id, approve, actor,
+    decided_at, notes) of each analysis."""
+    latest = decisions.groupBy("analysis_id").agg(
+        F.max(F.struct("decided_at", "approve", "actor", "notes")).alias("_d")
+    )
+    d = latest.select(
+        "analysis_id", F.col("_d.approve").alias("_ok"), F.col("_d.actor").alias("_by"),
+        F.col("_d.decided_at").alias("_at"), F.col("_d.notes").alias("_notes"),
     )
     v = F.col("validation")
     decided = F.col("_ok").isNotNull()
@@ -58,8 +62,9 @@ def apply_decisions(analyses: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def approve_templates(analyses: DataFrame, approvals: DataFrame) -> DataFrame:
-    """REVIEW becomes VALID for every analysis of an approved template (template_name, actor, at)."""
-    a = approvals.select("template_name", F.col("actor").alias("_by"), F.col("at").alias("_at"))
+    """REVIEW becomes VALID for every analysis of an approved template (template_name, actor, at; the latest counts)."""
+    latest = approvals.groupBy("template_name").agg(F.max(F.struct("at", "actor")).alias("_d"))
+    a = latest.select("template_name", F.col("_d.actor").alias("_by"), F.col("_d.at").alias("_at"))
     v = F.col("validation")
     hit = F.col("_by").isNotNull() & (v["status"] == "REVIEW")
     new = (

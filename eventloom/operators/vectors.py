@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import node_text
 
-OVER_FETCH = 3
-
 
 def squared_distance(embedding: Column, query: Column | Sequence[float]) -> Column:
     """Squared L2 distance in double precision.
 
-    For a constant query the sum is written out per dimension and compiled; for a column it
-    folds over the zipped arrays.
+    For a constant query the sum is written out per dimension, as a balanced tree, so that wide
+    vectors stay shallow; for a column it folds over the zipped arrays.
     """
     if isinstance(query, Column):
         return F.aggregate(
@@ -27,40 +25,36 @@ def squared_distance(embedding: Column, query: Column | Sequence[float]) -> Colu
             F.lit(0.0),
             lambda acc, x: acc + x,
         )
-    total = None
+    terms = []
     for i, q in enumerate(query):
         gap = F.get(embedding, F.lit(i)).cast("double") - F.lit(float(q))
-        total = gap * gap if total is None else total + gap * gap
-    return total
+        terms.append(gap * gap)
+    while len(terms) > 1:
+        terms = [sum(terms[i + 1 : i + 2], terms[i]) for i in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def search(
-    vectors: DataFrame,
-    query: Column | Sequence[float],
-    limit: int = 10,
-    item_type: str | None = None,
-    mode: str = "prefilter",
+    vectors: DataFrame, query: Column | Sequence[float], limit: int = 10, item_type: str | None = None
 ) -> DataFrame:
-    """Nearest items with score 1 / (1 + squared distance); ties by item id.
+    """Nearest items (of one type, if given) with score 1 / (1 + squared distance); ties by item id.
 
-    ``prefilter`` keeps only the wanted type before ranking. ``strict`` ranks all types, takes
-    three times the limit and filters then, so it may give fewer rows than asked for.
-    Each task keeps its own best rows; only those are merged.
+    Items without a vector, or with one of another length than the query, are no hits. Each task
+    keeps its own best rows; only those are merged.
     """
     keep = [c for c in vectors.columns if c != "embedding"]
-    rows = vectors
-    if item_type is not None and mode == "prefilter":
+    size = F.size(query) if isinstance(query, Column) else F.lit(len(query))
+    rows = vectors.where(F.size("embedding") == size)
+    if item_type is not None:
         rows = rows.where(F.col("item_type") == item_type)
     ranked = rows.select(*keep, squared_distance(F.col("embedding"), query).alias("distance"))
-    order = [F.asc("distance"), F.asc("item_id")]
-    if item_type is not None and mode == "strict":
-        ranked = ranked.orderBy(*order).limit(OVER_FETCH * limit).where(F.col("item_type") == item_type)
-    top = ranked.orderBy(*order).limit(limit)
+    top = ranked.where("distance is not null").orderBy("distance", "item_id").limit(limit)
     return top.withColumn("score", 1.0 / (1.0 + F.col("distance")))
 
 
 def similar_to_item(vectors: DataFrame, item_id, limit: int = 10) -> DataFrame:
-    """Neighbours of a stored item, itself left out. Its vector enters as a scalar subquery."""
+    """Neighbours of a stored item, itself left out; none of an unknown one. Its vector enters as a
+    scalar subquery."""
     query = vectors.where(F.col("item_id") == item_id).select("embedding").scalar()
     found = search(vectors.withColumn("_query", query), F.col("_query"), limit + 1).drop("_query")
     return found.where(F.col("item_id") != item_id).orderBy("distance", "item_id").limit(limit)
@@ -79,12 +73,11 @@ def unindexed_nodes(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def embed(items: DataFrame, embedding) -> DataFrame:
-    """Add the vector of a user-supplied pandas UDF (text to array<float>); keep 500 characters
-    of the text for reference."""
+    """Add the vector of a user-supplied pandas UDF (text to array<float>)."""
     return items.select(
         "*", embedding(F.col("text")).cast("array<float>").alias("embedding"),
         F.current_timestamp().alias("added_at"),
-    ).withColumn("text", F.substring("text", 1, 500))
+    )
 
 
 def vector_statistics(vectors: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import document_events as doc
 from ..operators import equivalence as eq
 from ..operators import events as ev
 from ..operators.graph import content_digest
+from ..operators.ordered import join_by
 from ..session import cut
 
 
@@ -72,7 +73,7 @@ def aggregate_frames(
     edge_sources = ev.event_edge_sources(groups, ev.resolve_edges(edges, nodes))
     event_edges = ev.event_edges(edge_sources)
     names = ev.node_names(nodes)
-    unified = ev.unified_nodes(event_nodes).join(names, ["node_type", "lname"])
+    unified = join_by(ev.unified_nodes(event_nodes), names, ["node_type", "lname"])
     unified_edges = ev.unified_edges(event_edges)
     return EventAggregation(
         groups, members, node_sources, event_nodes, edge_sources, event_edges, unified, unified_edges,

@@ -10,6 +10,7 @@ from eventloom.operators import filters as fl
 from eventloom.operators import ingest as ing
 from eventloom.operators import lineage as ln
 from eventloom.operators import vectors as ve
+from eventloom.operators.ordered import ranks, with_next
 from eventloom.plans import annotate as an
 from eventloom.plans import collect as co
 from eventloom.plans import exports as ex
@@ -30,11 +31,20 @@ def test_circuit_breaker(spark, outcomes, limit, kept):
 
 
 def test_source_limit_small_and_large(spark):
-    df = spark.createDataFrame([("hot" if i % 3 else "cold", i) for i in range(90)], "source string, pos long")
-    for limit in (7, 40):
-        plain = {tuple(r) for r in ing.limit_per_source(df, limit).collect()}
-        assert plain == {tuple(r) for r in ing.limit_per_source(df, limit, pruned_up_to=1).collect()}
-        assert len(plain) == min(limit, 60) + min(limit, 30)
+    df = spark.createDataFrame([("hot" if i % 3 else None, i) for i in range(90)], "source string, pos long")
+    for limit in (7, 40, 2000):
+        got = [tuple(r) for r in ing.limit_per_source(df, limit).collect()]
+        want = [("hot", i) for i in range(90) if i % 3][:limit] + [(None, i) for i in range(0, 90, 3)][:limit]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_null_keys_stay(spark):
+    df = spark.createDataFrame([("s", 1, True), (None, 1, True), (None, 2, False), ("s", 2, False)], "source string, pos long, ok boolean")
+    assert ing.circuit_breaker(df).count() == 4
+    assert sorted((r.source or "", r.pos, r.next.pos if r.next else None) for r in with_next(df, ["source"], ["pos"], ["pos"]).collect()) == [
+        ("", 1, 2), ("", 2, None), ("s", 1, 2), ("s", 2, None),
+    ]
+    assert sorted((r.source or "", r["rank"]) for r in ranks(df, ["source"], ["pos"]).collect()) == [("", 1), ("", 2), ("s", 1), ("s", 2)]
 
 
 def test_filters(spark):
@@ -216,10 +226,20 @@ def test_vector_modes(spark):
     rows = [(i, "b" if i in (5, 9) else "a", [float(i), 0.0]) for i in range(12)]
     v = spark.createDataFrame(rows, "item_id long, item_type string, embedding array<float>")
     ids = lambda df: [r.item_id for r in df.collect()]
-    assert ids(ve.search(v, [0.0, 0.0], 2, "b", mode="strict")) == [5]
     assert ids(ve.search(v, [0.0, 0.0], 2, "b")) == [5, 9]
     assert ve.search(v, [1.0, 0.0], 1).first().score == 1.0
     assert ids(ve.similar_to_item(v, 3, 3)) == [2, 4, 1]
+    assert ids(ve.similar_to_item(v, 77, 3)) == []
+    odd = spark.createDataFrame([(50, "a", None), (51, "a", [0.0]), (52, "a", [0.0, None])], v.schema)
+    assert ids(ve.search(v.union(odd), [0.0, 0.0], 2)) == [0, 1]
+
+
+@pytest.mark.parametrize("size", [384, 768, 1536])
+def test_wide_vectors(spark, size):
+    rows = [(i, "a", [float(i)] * size) for i in range(4)]
+    v = spark.createDataFrame(rows, "item_id long, item_type string, embedding array<float>")
+    got = ve.search(v, [1.0] * size, 3).collect()
+    assert [(r.item_id, r.distance) for r in got] == [(1, 0.0), (0, float(size)), (2, float(size))]
 
 
 def test_annotate_isolates_failures(spark):
