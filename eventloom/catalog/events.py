@@ -42,8 +42,7 @@ def event_signature(spark, sf):
 _EVENTS_SQL = f"""{SIGNED}, stored AS (
   SELECT sig_actor, sig_action, sig_date, sig_location,
          concat_ws('|', sig_actor, sig_action, sig_date, sig_location) AS event_id, max(ts) AS last_updated
-  FROM signed GROUP BY ALL),
-recent AS (SELECT * FROM stored ORDER BY last_updated DESC, event_id LIMIT 100)"""
+  FROM signed GROUP BY ALL)"""
 
 
 def _stored_events(spark, sf):
@@ -55,36 +54,56 @@ def _stored_events(spark, sf):
 
 @query("signature_match", f"""WITH {_EVENTS_SQL}
 SELECT mention_seq, r.event_id AS matched_event_id
-FROM signed s JOIN recent r USING (sig_actor, sig_action, sig_date, sig_location)
+FROM signed s JOIN stored r USING (sig_actor, sig_action, sig_date, sig_location)
 WHERE sig_actor <> '' AND sig_action <> '' AND sig_date <> '' AND sig_location <> ''""")
 def signature_match(spark, sf):
     new = ev.with_signature(t.mentions(spark, sf))
-    return ev.signature_matches(new, ev.recent_events(_stored_events(spark, sf))).select(
+    return ev.signature_matches(new, _stored_events(spark, sf)).select(
         "mention_seq", "matched_event_id"
     )
 
 
-@query("signature_candidates", f"""WITH {_EVENTS_SQL}
-SELECT s.mention_seq AS new_id, r.event_id,
-       CASE WHEN s.sig_actor <> r.sig_actor THEN 'sig_actor' WHEN s.sig_action <> r.sig_action THEN 'sig_action'
-            WHEN s.sig_date <> r.sig_date THEN 'sig_date' ELSE 'sig_location' END AS differs_in,
-       CAST(0.75 AS DOUBLE) AS similarity
-FROM signed s JOIN recent r
-  ON CAST(s.sig_actor = r.sig_actor AS INT) + CAST(s.sig_action = r.sig_action AS INT)
-   + CAST(s.sig_date = r.sig_date AS INT) + CAST(s.sig_location = r.sig_location AS INT) = 3""")
+def _neighbours_sql() -> str:
+    """SQL of ``signature_candidates``: each side of a neighbour pair that is new, the other one known."""
+    branches = []
+    for odd in ev.SIGNATURE_PARTS:
+        same = [p for p in ev.SIGNATURE_PARTS if p != odd]
+        row = "{event_id: event_id, is_new: is_new, is_known: is_known}"
+        branches.append(
+            f"SELECT '{odd}' AS differs_in, {row} AS a, lead({row}) OVER (PARTITION BY {', '.join(same)} ORDER BY {odd}) AS b "
+            f"FROM sides WHERE {' AND '.join(f"{p} <> ''" for p in same)}"
+        )
+    return " UNION ALL ".join(branches)
+
+
+@query("signature_candidates", f"""WITH {_EVENTS_SQL},
+sides AS (SELECT sig_actor, sig_action, sig_date, sig_location, event_id, max(is_new) AS is_new, max(is_known) AS is_known FROM (
+  SELECT *, date_part('hour', last_updated) % 3 = 0 AS is_new, date_part('hour', last_updated) % 3 <> 1 AS is_known FROM stored) WHERE is_new OR is_known GROUP BY ALL),
+pairs AS ({_neighbours_sql()})
+SELECT a.event_id AS new_id, b.event_id AS event_id, differs_in, CAST(0.75 AS DOUBLE) AS similarity FROM pairs WHERE a.is_new AND b.is_known
+UNION ALL SELECT b.event_id, a.event_id, differs_in, CAST(0.75 AS DOUBLE) FROM pairs WHERE b.is_new AND a.is_known""")
 def signature_candidates(spark, sf):
-    new = ev.with_signature(t.mentions(spark, sf)).withColumnRenamed("mention_seq", "new_id")
-    return ev.signature_candidates(new, ev.recent_events(_stored_events(spark, sf)))
+    stored = _stored_events(spark, sf)
+    part = F.hour("last_updated") % 3
+    new = stored.where(part == 0).withColumnRenamed("event_id", "new_id")
+    return ev.signature_candidates(new, stored.where(part != 1))
+
+
+@query("recent_events", f"""WITH {_EVENTS_SQL}
+SELECT event_id, strftime(last_updated, '%Y-%m-%d %H:%M:%S') AS last_updated FROM stored ORDER BY stored.last_updated DESC, event_id LIMIT 100""")
+def recent_events(spark, sf):
+    newest = ev.recent_events(_stored_events(spark, sf))
+    return newest.select("event_id", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"))
 
 
 @query("attach_observations", f"""WITH {_EVENTS_SQL}
 SELECT s.mention_seq AS observation_id,
        coalesce(r.event_id, sha256(concat_ws('|', sig_actor, sig_action, sig_date, sig_location))) AS event_id,
        r.event_id IS NULL AS is_new
-FROM signed s LEFT JOIN recent r USING (sig_actor, sig_action, sig_date, sig_location)""")
+FROM signed s LEFT JOIN stored r USING (sig_actor, sig_action, sig_date, sig_location)""")
 def attach_observations(spark, sf):
     obs = ev.with_signature(t.mentions(spark, sf)).withColumnRenamed("mention_seq", "observation_id")
-    known = ev.recent_events(_stored_events(spark, sf)).withColumn("signature", F.col("event_id"))
+    known = _stored_events(spark, sf).withColumn("signature", F.col("event_id"))
     return ev.attach_observations(obs, known).select("observation_id", "event_id", "is_new")
 
 
@@ -322,21 +341,3 @@ def actor_sequence(spark, sf):
         F.col("mention_seq").alias("seq"),
     )
     return doc.actor_sequences(performed)
-
-
-@query("fuzzy_pairs")
-def fuzzy_pairs(spark, sf):
-    """Every turn against the one before it, scored as two events."""
-    turns = t.table(spark, sf, "conversations")
-    day = F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("turn") % 3).cast("int")), "yyyy-MM-dd")
-
-    def side(i: int, key):
-        return turns.select(
-            "conv_id", key.alias("turn"), F.substring_index("text", ".", 1).alias(f"name{i}"),
-            F.col("role").alias(f"description{i}"), day.alias(f"date{i}"),
-            F.concat(F.lit("Hall, "), "role").alias(f"location{i}"),
-        )
-
-    pairs = side(1, F.col("turn")).join(side(2, F.col("turn") - 1), ["conv_id", "turn"])
-    scored = ev.score_pairs(pairs, threshold=0.3)
-    return scored.select("conv_id", "turn", r6("name_score").alias("name_score"), r6("score").alias("score"))

@@ -79,15 +79,26 @@ def partial_entity_match(name: Column, source: Column) -> Column:
     )
 
 
-def all_occurrences(text: Column, source: Column, most: int = 5) -> Column:
-    """Offsets of the first ``most`` occurrences, overlapping ones included."""
+def all_occurrences(text: Column, source: Column, most: int | None = None) -> Column:
+    """Offsets of all occurrences (or the first ``most``), overlapping ones included.
+
+    A search starts behind the last find and stops at the first failure. Every occurrence starts
+    inside one of those that do not overlap, so the characters of the latter bound the steps.
+    """
     needle, hay = F.lower(text), F.lower(source)
 
-    def step(found: Column, _i: Column) -> Column:
+    def step(state: Column, _i: Column) -> Column:
+        found = state["found"]
         last = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(-1))
-        at = F.call_function("locate", needle, hay, last + 2)
-        return F.when(at > 0, F.array_append(found, at - 1)).otherwise(found)
+        at = F.when(~state["done"], F.call_function("locate", needle, hay, last + 2)).otherwise(0)
+        return F.struct(
+            F.when(at > 0, F.array_append(found, at - 1)).otherwise(found).alias("found"), (at == 0).alias("done")
+        )
 
     empty = F.array().cast("array<int>")
-    offsets = F.aggregate(F.sequence(F.lit(1), F.lit(most)), empty, step)
-    return F.when(text != "", offsets).otherwise(empty)
+    start = F.struct(empty.alias("found"), F.lit(False).alias("done"))
+    steps = F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))
+    if most is not None:
+        steps = F.least(steps, F.lit(most))
+    offsets = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda state: state["found"])
+    return F.when((text != "") & (steps > 0), offsets).otherwise(empty)

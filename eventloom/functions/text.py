@@ -166,14 +166,18 @@ def strip_reasoning(c: Column) -> Column:
     return strip(F.when(F.contains(c, F.lit(tag)), rest).otherwise(c))
 
 
-def dedup_paragraphs(c: Column, separator: str = "\n\n") -> Column:
-    """Keep the first paragraph of each signature, put one marker for every repeat."""
+def dedup_paragraphs(c: Column, separator: str = "\n\n", prefix: int | None = None) -> Column:
+    """Keep the first paragraph of each signature, put one marker for every repeat.
+
+    The signature is the whole text without case and white space, or its first ``prefix`` characters.
+    """
     paragraphs = F.filter(
         F.transform(_split_literal(c, separator), strip), lambda p: p != ""
     )
 
     def signature(p: Column) -> Column:
-        return F.substring(F.regexp_replace(F.lower(p), r"(?U)\s+", ""), 1, 100)
+        whole = F.regexp_replace(F.lower(p), r"(?U)\s+", "")
+        return whole if prefix is None else F.substring(whole, 1, prefix)
 
     kept = F.transform(
         mark_repeats(paragraphs, signature),
@@ -183,9 +187,11 @@ def dedup_paragraphs(c: Column, separator: str = "\n\n") -> Column:
 
 
 def fit_content(
-    c: Column, budget: int = CONTENT_BUDGET, separator: str = "\n\n"
+    c: Column, budget: int | None = None, separator: str = "\n\n"
 ) -> Column:
-    """Whole distinct sentences up to a length budget, then paragraph dedup."""
+    """Whole distinct sentences up to a length budget if one is given, then paragraph dedup."""
+    if budget is None:
+        return dedup_paragraphs(c, separator)
 
     def within(sentences: Column) -> Column:
         """Number of leading sentences that fit before the first overflow."""
@@ -212,7 +218,7 @@ def fit_content(
     sentences = F.filter(F.transform(F.split(c, r"\. "), strip), lambda s: s != "")
     distinct = F.transform(
         F.filter(
-            mark_repeats(sentences, lambda s: F.substring(F.lower(s), 1, 50)),
+            mark_repeats(sentences, F.lower),
             lambda x: ~x["repeat"],
         ),
         lambda x: x["item"],

@@ -22,11 +22,9 @@ def cite(items: DataFrame, documents: DataFrame, fuzzy: bool = True) -> DataFram
     joined = items.join(documents.select("doc_id", "content"), "doc_id", "left")
     native = F.coalesce(C.exact_match(quoted, source), C.normalized_match(quoted, source))
     tried = joined.withColumn("_hit", native)
-    if fuzzy:
-        left_over = F.col("_hit").isNull() & quoted.isNotNull()
-        done = tried.where(~left_over)
-        rest = tried.where(left_over).withColumn("_hit", fuzzy_quote(text, source))
-        tried = done.unionByName(rest)
+    if fuzzy:  # rows that are settled go to Python as nulls
+        open_ = F.col("_hit").isNull() & quoted.isNotNull()
+        tried = tried.withColumn("_hit", F.coalesce("_hit", fuzzy_quote(F.when(open_, text), F.when(open_, source))))
     is_node = (F.col("kind") == "node") & (F.coalesce(name, F.lit("")) != "")
     by_name = F.coalesce(
         C.exact_match(name, source), C.normalized_match(name, source), C.partial_entity_match(name, source)
@@ -39,8 +37,8 @@ def cite(items: DataFrame, documents: DataFrame, fuzzy: bool = True) -> DataFram
     return found.withColumn("citation", citation).select(*items.columns, "citation")
 
 
-def occurrences(items: DataFrame, documents: DataFrame, most: int = 5) -> DataFrame:
-    """The first ``most`` occurrences of each item, one row each."""
+def occurrences(items: DataFrame, documents: DataFrame, most: int | None = None) -> DataFrame:
+    """All occurrences of each item (or the first ``most``), one row each."""
     joined = items.join(documents.select("doc_id", "content"), "doc_id")
     at = joined.withColumn("_at", C.all_occurrences(F.col("text"), F.col("content"), most))
     return at.select(

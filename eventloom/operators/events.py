@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..functions.maps import merge_maps
+from ..session import cut
+from .ordered import with_next
 
 RECENT_EVENTS = 100
 SIGNATURE_PARTS = ["sig_actor", "sig_action", "sig_date", "sig_location"]
@@ -126,7 +128,7 @@ def with_signature(mentions: DataFrame) -> DataFrame:
 
 
 def recent_events(events: DataFrame, limit: int | None = RECENT_EVENTS) -> DataFrame:
-    """Most recently updated events; the usual candidate set of a match."""
+    """List the most recently updated events; matching always looks at all."""
     if limit is None:
         return events
     return events.orderBy(F.desc("last_updated"), "event_id").limit(limit)
@@ -148,22 +150,34 @@ def signature_matches(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def signature_candidates(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Pairs that agree in exactly three non-empty parts, for review.
+    """Neighbouring signatures that agree in exactly three non-empty parts, for review.
 
-    ``new`` is (new_id, parts), ``existing`` (event_id, parts). The four joins leave out one part
-    each and require it to differ, so no pair occurs twice.
+    ``new`` is (new_id, parts), ``existing`` (event_id, parts). Both sides are reduced to distinct
+    signatures. Those that share three parts are put in the order of the fourth, and each is paired
+    with the next one if one of the two is new and the other exists: at most two pairs for a
+    signature and part, however many share the three parts. The whole group is what has those parts.
     """
+    parts = list(SIGNATURE_PARTS)
+    sides = new.select(*parts, "new_id", F.lit(None).cast("string").alias("event_id")).unionByName(
+        existing.select(*parts, F.lit(None).cast(dict(new.dtypes)["new_id"]).alias("new_id"), F.col("event_id").cast("string"))
+    )
+    known = cut(sides.groupBy(*parts).agg(F.min("new_id").alias("new_id"), F.min("event_id").alias("event_id")))
     out = None
-    for odd in SIGNATURE_PARTS:
-        same = [p for p in SIGNATURE_PARTS if p != odd]
-        left = new.select("new_id", *same, F.col(odd).alias("_l"))
+    for odd in parts:
+        same = [p for p in parts if p != odd]
+        rows = known
         for p in same:
-            left = left.where(F.col(p) != "")
-        right = existing.select("event_id", *same, F.col(odd).alias("_r"))
-        pairs = left.join(right, same).where(
-            (F.col("_l") != F.col("_r")) | (F.col("_l") == "")
-        ).select("new_id", "event_id", F.lit(odd).alias("differs_in"), F.lit(0.75).alias("similarity"))
-        out = pairs if out is None else out.unionByName(pairs)
+            rows = rows.where(F.col(p) != "")
+        near = with_next(rows, same, [odd], ["new_id", "event_id"])
+        empty = rows.where(F.col(odd) == "")  # two empty parts do not agree
+        for frame, mine, other in (
+            (near, "new_id", "next.event_id"), (near, "next.new_id", "event_id"), (empty, "new_id", "event_id"),
+        ):
+            pairs = frame.select(
+                F.col(mine).alias("new_id"), F.col(other).alias("event_id"), F.lit(odd).alias("differs_in"),
+                F.lit(0.75).alias("similarity"),
+            ).where("new_id is not null and event_id is not null")
+            out = pairs if out is None else out.unionByName(pairs)
     return out
 
 

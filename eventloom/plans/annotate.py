@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import fit_content, render_prompt, strip_reasoning
+from ..functions.text import CONTENT_BUDGET, fit_content, render_prompt, strip_reasoning
 
 Annotator = Callable[[pd.Series], pd.Series]
-MAX_TEMPLATES = 1000
 
 
 @dataclass
@@ -65,7 +64,7 @@ def annotate(documents: DataFrame, template: Template, annotator: Annotator, sep
     The prompt is rendered by Spark; only the prompt and the document's own columns pass through
     the Python worker.
     """
-    out = documents.withColumn("article_content", fit_content(F.coalesce("content", F.lit("")), separator=separator))
+    out = documents.withColumn("article_content", fit_content(F.coalesce("content", F.lit("")), CONTENT_BUDGET, separator))
     answers: list[Column] = []
     for r in template.rounds:
         values = {c: F.col(c) for c in out.columns if c != "content"}
@@ -89,8 +88,6 @@ def annotate(documents: DataFrame, template: Template, annotator: Annotator, sep
 
 def annotate_all(documents: DataFrame, templates: list[Template], annotator: Annotator, separator: str = "\n\n") -> DataFrame:
     """Every document with every template."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     out = None
     for t in templates:
         one = annotate(documents, t, annotator, separator)

@@ -49,7 +49,7 @@ def collect(
     entries: DataFrame,
     start,
     end,
-    limit: int = 50,
+    limit: int | None = None,
     extra_channels: tuple[DataFrame, ...] = (),
     history: DataFrame | None = None,
     mode: str = "incremental",

@@ -10,7 +10,7 @@ TABLES = (
 SAMPLE = [
     "event_weight", "signature_candidates", "unified_nodes", "doc_event_clusters", "doc_actor_links", "actor_sequence",
     "edge_upsert", "graph_hash", "temporal_edges_global", "entity_resolution", "weighted_relationships", "url_dedup",
-    "circuit_breaker", "content_budget", "citation_exact", "vector_typed_topk_strict", "hmac_verify", "json_recovery",
+    "circuit_breaker", "content_budget", "citation_exact", "vector_typed_topk", "hmac_verify", "json_recovery",
 ]
 
 

@@ -122,6 +122,12 @@ def test_signature_match_and_candidates(spark):
     assert {(r.new_id, r.event_id, r.differs_in) for r in near.collect()} == {
         (1, "8", "sig_location"), (2, "9", "sig_date"), (3, "9", "sig_location"), (3, "8", "sig_location"),
     }
+    many = spark.range(10_000).select(
+        F.col("id").alias("new_id"), F.lit("a").alias("sig_actor"), F.lit("b").alias("sig_action"),
+        F.col("id").cast("string").alias("sig_date"), F.lit("c").alias("sig_location"),
+    )
+    stored = many.withColumn("event_id", F.col("new_id").cast("string")).drop("new_id")
+    assert ev.signature_candidates(many, stored).count() == 2 * 9_999
     obs = ev.attach_observations(new.withColumnRenamed("mention_seq", "observation_id"), old)
     got = {r.observation_id: (r.event_id, r.is_new) for r in obs.collect()}
     assert got[1] == ("9", False) and got[2][1] and got[3][1] and got[2][0] != got[3][0]
