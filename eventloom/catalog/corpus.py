@@ -411,7 +411,15 @@ def citation_exact(spark, sf):
     )
 
 
-@query("citation_summary")
+@query("citation_summary", f"""WITH s AS (SELECT lower(text) AS content, {_STRIP.format("list_extract(string_split(text, '. '), -1)")} AS last,
+  string_split(text, chr(10))[1] AS line, regexp_extract(text, '([a-z]{{5,}})', 1) AS word FROM documents),
+i AS (SELECT unnest([
+  CASE WHEN last <> '' THEN 1.0 END,
+  CASE WHEN line <> '' AND contains(content, lower(replace(line, 'ß', 'ss'))) THEN 1.0 END,
+  CASE WHEN word <> '' THEN 0.8 END]) AS confidence FROM s)
+SELECT CAST(count(*) AS BIGINT) AS total_citations, CAST(count_if(confidence = 1) AS BIGINT) AS exact_matches,
+  CAST(count_if(confidence < 1) AS BIGINT) AS fuzzy_matches, CAST(count_if(confidence IS NULL) AS BIGINT) AS unmatched,
+  round(coalesce(sum(CAST(confidence AS DOUBLE)), 0) / count(*), 6) AS avg_confidence FROM i""")
 def citation_summary(spark, sf):
     cited = ci.cite(_cited_items(spark, sf), _contents(spark, sf), fuzzy=False)
     per_doc = ci.citation_summary(cited, ["doc_id"])
