@@ -130,6 +130,16 @@ def components(links: DataFrame) -> DataFrame:
     return tied.union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
+def sample(rows: DataFrame, key: str, about: int) -> DataFrame:
+    """All rows, or the share of them that gives about ``about`` rows: those whose key hashes low.
+
+    Chosen row by row after one count, so nothing is sorted or brought together; the same rows in
+    every run.
+    """
+    share = about / max(rows.count(), 1)
+    return rows if share >= 1 else rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 LABELS_BROADCAST = 2_000_000  # rows of 16 bytes: 32 MB
 
 

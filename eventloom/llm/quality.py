@@ -5,7 +5,7 @@ cosines of them approximate a Gaussian kernel. Tasks add up the normal equations
 sums are added by position; the solution is a ridge regression of the label. Pool-adjacent-violators
 calibration on rows outside the fit turns its value into a probability that does not fall.
 
-Learning: a sample of at most ``SAMPLE`` labelled documents (smallest hash of the id) of folds 1 to 4;
+Learning: a sample of about ``SAMPLE`` labelled documents (chosen by a hash of the id) of folds 1 to 4;
 fold ``CALIBRATE`` calibrates, the others fit; fold 0 is never read. The sample's ids are bounded, so
 they are broadcast and no text is shuffled.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from eventloom.llm.common import fold, labelled, table
+from eventloom.llm.common import fold, labelled, sample, table
 from eventloom.session import cut
 
 STATISTICS = (
@@ -118,7 +118,7 @@ class Scorer:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str = "quality"):
         ids = labels.filter(fold(labels["doc_id"], 5) != 0).select("doc_id", label)
-        ids = cut(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
+        ids = cut(sample(ids, "doc_id", SAMPLE))
         known = labelled(docs, ids, label, fold(docs["doc_id"], 5))
 
         def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

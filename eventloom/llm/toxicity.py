@@ -7,8 +7,8 @@ few toxic sentences in a long text count as much as in a short one) and the mean
 strongest words. A logistic function of these, fitted to documents that the models have not read,
 turns them into the score.
 
-Learning: models read all labelled documents whose fold is in ``READ``, calibration a sample of at
-most ``SAMPLE`` documents of fold ``CALIBRATE`` (smallest hash of the id); fold 0 is never read.
+Learning: models read all labelled documents whose fold is in ``READ``, calibration a sample of
+about ``SAMPLE`` documents of fold ``CALIBRATE`` (chosen by a hash of the id); fold 0 is never read.
 
 Scale: one pass over the labelled texts and one scan for scoring, no shuffle of texts while the labels
 fit a broadcast. Model size is bounded by slots.
@@ -32,7 +32,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from eventloom.llm import kneser_ney
-from eventloom.llm.common import Memo, fold, labelled, slices, table
+from eventloom.llm.common import Memo, fold, labelled, sample, slices, table
 
 ORDER, BITS, SHARED = 5, 19, 2
 WINDOWS = (4, 16, 64)
@@ -103,8 +103,8 @@ class Scorer:
                 found = [features(memo, some) for some in slices(batch["text"])]
                 yield pd.DataFrame({"y": batch["y"].to_numpy(), "x": list(np.concatenate(found)) if found else []})
 
-        sample = known.filter(F.col("fold") == CALIBRATE).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("text", "y")
-        got = sample.mapInPandas(evidence, "y int, x array<double>").toPandas()
+        some = sample(known.filter(F.col("fold") == CALIBRATE), "id", SAMPLE).select("text", "y")
+        got = some.mapInPandas(evidence, "y int, x array<double>").toPandas()
         y = got["y"].to_numpy(float)
         self.constant, scale, weights = None, None, None
         if len(y) == 0 or y.min() == y.max():
