@@ -31,7 +31,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,7 +39,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import table
+from eventloom.llm.common import in_worker, table
 from eventloom.llm.token_counts import unbyte
 from eventloom.session import cut, fresh_dir
 
@@ -98,11 +97,6 @@ class Encoder(dict):
         return found
 
 
-@lru_cache(maxsize=2)
-def _encoder(content: str, end: int) -> Encoder:
-    return Encoder(content, end)
-
-
 def _small(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), rows):
@@ -125,7 +119,7 @@ def write_ids(
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        context, encoder = TaskContext.get(), _encoder(sent.value, end)
+        context, encoder = TaskContext.get(), in_worker(("ids", len(sent.value), end), lambda: Encoder(sent.value, end))
         kind = encoder.type
         part, attempt = context.partitionId(), context.taskAttemptId()
         files, base = _place(folder)

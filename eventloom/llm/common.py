@@ -71,6 +71,18 @@ class Memo(dict):
         return self.values[at]
 
 
+_HELD: dict = {}
+
+
+def in_worker(key, build: Callable):
+    """What a worker process keeps between tasks under ``key``; it keeps one such thing at a time, so
+    stages that follow one another in the same workers do not add up their memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def starts_of(counts: list[int]) -> np.ndarray:
     """0 and the running totals: where each text's words begin in the joined list."""
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)

@@ -31,7 +31,7 @@ from eventloom.llm.common import slices
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DISCOUNT = 0.75
-FLUSH = 400_000  # distinct words that a task counts before it adds them up
+FLUSH = 200_000  # distinct words that a task counts before it adds them up
 
 
 def words_of(text: str) -> list[str]:

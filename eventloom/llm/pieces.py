@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from eventloom.llm.common import table
+from eventloom.llm.common import in_worker, table
 
 MARK = "▁"
 UNKNOWN = 10.0
-MEMO = 200_000  # parts that a worker remembers
+MEMO = 250_000  # parts that a worker remembers
 ROWS = 1_000
 
 
@@ -124,14 +124,8 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-_CODECS: dict[str, Codec] = {}  # one per worker process and model
-
-
 def _codec(model) -> Codec:
-    path = model.value["path"]
-    if path not in _CODECS:
-        _CODECS[path] = Codec(model.value)
-    return _CODECS[path]
+    return in_worker(("pieces", model.value["path"]), lambda: Codec(model.value))
 
 
 def _rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

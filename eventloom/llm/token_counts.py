@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from eventloom.llm.common import Memo, slices, starts_of, sums, table
+from eventloom.llm.common import Memo, in_worker, slices, starts_of, sums, table
 
 WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
 TYPE = "n_words long, n_tokens long, n_unknown long"
@@ -112,18 +112,13 @@ class LongestMatch:
         return np.stack([np.maximum(counts, 1), counts == 0], axis=1).astype(np.int64)
 
 
-_MEMOS: dict[str, Memo] = {}  # one per worker process and vocabulary
-
-
 def token_counts(spark: SparkSession, path: str, text: Column) -> Column:
     """Struct of n_words, n_tokens and n_unknown of a text column."""
     pieces = spark.sparkContext.broadcast(read_pieces(path))
 
     @pandas_udf(TYPE)
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo = _MEMOS.get(path)
-        if memo is None:
-            memo = _MEMOS[path] = Memo(LongestMatch(*pieces.value).rows)
+        memo = in_worker(("token counts", path), lambda: Memo(LongestMatch(*pieces.value).rows))
         for batch in batches:
             parts = [np.zeros((0, 3), np.int64)]
             for texts in slices(batch):

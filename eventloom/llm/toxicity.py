@@ -32,7 +32,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from eventloom.llm import kneser_ney
-from eventloom.llm.common import Memo, fold, labelled, sample, slices, table
+from eventloom.llm.common import Memo, fold, in_worker, labelled, sample, slices, table
 
 ORDER, BITS, SHARED = 5, 19, 2
 WINDOWS = (4, 16, 64)
@@ -40,19 +40,13 @@ READ, CALIBRATE = (1, 2, 3), 4
 SAMPLE = 20_000
 CLIP = 20.0  # evidence of one word
 
-_MEMOS: dict[str, Memo] = {}
-
 
 def _memo(key: str, model) -> Memo:
-    if key not in _MEMOS:
-
-        def evidence(words: list[str]) -> np.ndarray:
-            found = model.score(words)
-            return np.clip(found[:, 1] - found[:, 0], -CLIP, CLIP)
+    def evidence(words: list[str]) -> np.ndarray:
+        found = model.score(words)
+        return np.clip(found[:, 1] - found[:, 0], -CLIP, CLIP)
 
-        _MEMOS.clear()
-        _MEMOS[key] = Memo(evidence)
-    return _MEMOS[key]
+    return in_worker(key, lambda: Memo(evidence, 200_000))
 
 
 def features(memo: Memo, texts: list[str]) -> np.ndarray:
