@@ -89,6 +89,21 @@ def signature_candidates(spark, sf):
     return ev.signature_candidates(new, stored.where(part != 1))
 
 
+def _members_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{odd}' AS differs_in, {', '.join(f'NULL AS {p}' if p == odd else p for p in ev.SIGNATURE_PARTS)}, "
+        f"{odd} AS odd_part, event_id AS new_id, event_id FROM stored "
+        f"WHERE {' AND '.join(f"{p} <> ''" for p in ev.SIGNATURE_PARTS if p != odd)}"
+        for odd in ev.SIGNATURE_PARTS
+    )
+
+
+@query("signature_groups", f"WITH {_EVENTS_SQL} {_members_sql()}")
+def signature_groups(spark, sf):
+    stored = _stored_events(spark, sf)
+    return ev.signature_groups(stored.withColumnRenamed("event_id", "new_id"), stored)
+
+
 @query("recent_events", f"""WITH {_EVENTS_SQL}
 SELECT event_id, strftime(last_updated, '%Y-%m-%d %H:%M:%S') AS last_updated FROM stored ORDER BY stored.last_updated DESC, event_id LIMIT 100""")
 def recent_events(spark, sf):

@@ -13,7 +13,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..functions.maps import merge_maps
 from ..session import cut
-from .ordered import with_next
+from .ordered import with_nearest
 
 RECENT_EVENTS = 100
 SIGNATURE_PARTS = ["sig_actor", "sig_action", "sig_date", "sig_location"]
@@ -149,32 +149,60 @@ def signature_matches(new: DataFrame, existing: DataFrame) -> DataFrame:
     return full.join(known, SIGNATURE_PARTS)
 
 
+def _sides(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """Distinct signatures of both sides: parts, new_id (null: not new), event_id (null: not known)."""
+    parts = list(SIGNATURE_PARTS)
+    sides = new.select(*parts, "new_id", F.lit(None).cast("string").alias("event_id")).unionByName(
+        existing.select(*parts, F.lit(None).cast(dict(new.dtypes)["new_id"]).alias("new_id"), F.col("event_id").cast("string"))
+    )
+    return sides.groupBy(*parts).agg(F.min("new_id").alias("new_id"), F.min("event_id").alias("event_id"))
+
+
+def signature_groups(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """Members of every group of signatures that share three non-empty parts, one row each.
+
+    Columns: differs_in, the four parts with a null for the odd one (the group's key), odd_part,
+    new_id (null: not new) and event_id (null: not known). At most four rows for a signature, so the
+    frame is linear; all candidates of a new signature are the known members of its groups whose
+    odd part is another one or empty.
+    """
+    known = cut(_sides(new, existing))
+    out = None
+    for odd in SIGNATURE_PARTS:
+        rows = known
+        for p in SIGNATURE_PARTS:
+            rows = rows if p == odd else rows.where(F.col(p) != "")
+        members = rows.select(
+            F.lit(odd).alias("differs_in"),
+            *[F.lit(None).cast("string").alias(p) if p == odd else F.col(p) for p in SIGNATURE_PARTS],
+            F.col(odd).alias("odd_part"), "new_id", "event_id",
+        )
+        out = members if out is None else out.unionByName(members)
+    return out
+
+
 def signature_candidates(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Neighbouring signatures that agree in exactly three non-empty parts, for review.
+    """Nearest signatures that agree in exactly three non-empty parts, for review.
 
     ``new`` is (new_id, parts), ``existing`` (event_id, parts). Both sides are reduced to distinct
-    signatures. Those that share three parts are put in the order of the fourth, and each is paired
-    with the next one if one of the two is new and the other exists: at most two pairs for a
-    signature and part, however many share the three parts. The whole group is what has those parts.
+    signatures. Those that share three parts are put in the order of the fourth, and each new one is
+    paired with the nearest known one before and after it, however many other new ones lie between.
+    Every new signature of a group with another known one has a candidate; all members of the groups,
+    linear in the signatures where all pairs would be quadratic, are :func:`signature_groups`.
     """
     parts = list(SIGNATURE_PARTS)
-    sides = new.select(*parts, "new_id", F.lit(None).cast("string").alias("event_id")).unionByName(
-        existing.select(*parts, F.lit(None).cast(dict(new.dtypes)["new_id"]).alias("new_id"), F.col("event_id").cast("string"))
-    )
-    known = cut(sides.groupBy(*parts).agg(F.min("new_id").alias("new_id"), F.min("event_id").alias("event_id")))
+    known = cut(_sides(new, existing))
     out = None
     for odd in parts:
         same = [p for p in parts if p != odd]
         rows = known
         for p in same:
             rows = rows.where(F.col(p) != "")
-        near = with_next(rows, same, [odd], ["new_id", "event_id"])
+        near = with_nearest(rows, same, [odd], ["event_id"], F.col("event_id").isNotNull())
         empty = rows.where(F.col(odd) == "")  # two empty parts do not agree
-        for frame, mine, other in (
-            (near, "new_id", "next.event_id"), (near, "next.new_id", "event_id"), (empty, "new_id", "event_id"),
-        ):
+        for frame, other in ((near, "before.event_id"), (near, "after.event_id"), (empty, "event_id")):
             pairs = frame.select(
-                F.col(mine).alias("new_id"), F.col(other).alias("event_id"), F.lit(odd).alias("differs_in"),
+                "new_id", F.col(other).alias("event_id"), F.lit(odd).alias("differs_in"),
                 F.lit(0.75).alias("similarity"),
             ).where("new_id is not null and event_id is not null")
             out = pairs if out is None else out.unionByName(pairs)

@@ -69,3 +69,32 @@ def with_next(df: DataFrame, keys: list[str], order: list[str], columns: list[st
         .withColumn("next", F.coalesce("_next", "_head"))
         .drop("_block", "_next", "_head")
     )
+
+
+def with_nearest(df: DataFrame, keys: list[str], order: list[str], columns: list[str], wanted: Column) -> DataFrame:
+    """Add ``before`` and ``after``: structs of ``columns`` of the nearest other rows of the same key
+    that are ``wanted``, however many that are not lie between; or null."""
+    blocked = blocks(df.withColumn("_wanted", F.coalesce(wanted, F.lit(False))), keys, order)
+    row, at = F.when(F.col("_wanted"), F.struct(*columns)), F.when(F.col("_wanted"), F.struct(*order))
+    ends = blocked.groupBy(*keys, "_block").agg(F.min_by(row, at).alias("_first"), F.max_by(row, at).alias("_last"))
+
+    def latest(column: Column, window: W) -> Column:
+        return F.last(column, ignorenulls=True).over(window.rowsBetween(W.unboundedPreceding, -1))
+
+    # both directions read preceding rows: a frame of following rows is read anew for each row
+    down, up = [F.col(c).asc() for c in order], [F.col(c).desc() for c in order]
+    across = ends.select(
+        *keys, "_block",
+        latest(F.col("_last"), W.partitionBy(*keys).orderBy("_block")).alias("_last"),
+        latest(F.col("_first"), W.partitionBy(*keys).orderBy(F.desc("_block"))).alias("_first"),
+    )
+    inside = W.partitionBy(*keys, "_block")
+    near = blocked.withColumn("_before", latest(row, inside.orderBy(*down))).withColumn(
+        "_after", latest(row, inside.orderBy(*up))
+    )
+    return (
+        join_by(near, across, [*keys, "_block"])
+        .withColumn("before", F.coalesce("_before", "_last"))
+        .withColumn("after", F.coalesce("_after", "_first"))
+        .drop("_block", "_wanted", "_before", "_after", "_last", "_first")
+    )
