@@ -89,6 +89,18 @@ def signature_candidates(spark, sf):
     return ev.signature_candidates(new, stored.where(part != 1))
 
 
+@query("signature_candidates_all", f"""WITH {_EVENTS_SQL},
+sides AS (SELECT *, true AS is_new, true AS is_known FROM stored),
+pairs AS ({_neighbours_sql()})
+SELECT a.event_id AS new_id, b.event_id AS event_id, differs_in, CAST(0.75 AS DOUBLE) AS similarity FROM pairs WHERE b.event_id IS NOT NULL
+UNION ALL SELECT b.event_id, a.event_id, differs_in, CAST(0.75 AS DOUBLE) FROM pairs WHERE b.event_id IS NOT NULL""")
+def signature_candidates_all(spark, sf):
+    """All mentions, by distinct signature, against the whole stored table."""
+    signed = ev.with_signature(t.mentions(spark, sf))
+    new = signed.select(*ev.SIGNATURE_PARTS, F.col("signature").alias("new_id")).distinct()
+    return ev.signature_candidates(new, _stored_events(spark, sf))
+
+
 def _members_sql() -> str:
     return " UNION ALL ".join(
         f"SELECT '{odd}' AS differs_in, {', '.join(f'NULL AS {p}' if p == odd else p for p in ev.SIGNATURE_PARTS)}, "

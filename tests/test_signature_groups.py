@@ -1,5 +1,9 @@
 """Candidates by three agreeing parts: nearest known signature, and the groups themselves."""
 
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
 from eventloom.operators import events as ev
 
 PARTS = "sig_actor string, sig_action string, sig_date string, sig_location string"
@@ -37,3 +41,19 @@ def test_groups_hold_all_members(spark):
     assert sorted((r.odd_part[-2:], r.new_id, r.event_id) for r in got) == [
         ("00", None, "k0"), ("01", "n1", None), ("02", "n2", None), ("03", "b3", "b3"),
     ]
+
+
+@pytest.mark.parametrize("name", ["signature_groups", "signature_candidates_all"])
+def test_whole_queries_equal_sql(spark, sf, name):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{sf}/events.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    got = entry.queries()[name](spark, sf).select(columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
+def test_every_hour_is_asked_about(spark, sf):
+    rows = entry.queries()["signature_candidates_all"](spark, sf).select("new_id").distinct()
+    hours = entry.queries()["recent_events"](spark, sf).join(rows.withColumnRenamed("new_id", "event_id"), "event_id")
+    assert {int(r.last_updated[11:13]) % 3 for r in hours.collect()} == {0, 1, 2}
