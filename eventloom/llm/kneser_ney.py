@@ -7,11 +7,11 @@ neighbours (Kneser and Ney, 1995). With ``shared``, orders below the highest poo
 that rare expressions fall back on the same counts in every class.
 
 Training is one pass over all texts of all classes: a task counts the distinct words it holds, adds
-up n-grams in tables of ``2 ** bits`` slots per order, and sends the slots that it filled once at its
-end; slots are summed by key after a map-side combine. So what is gathered grows with the corpus
-until the slots are filled, and a model has at most orders x ``2 ** bits`` rows for any corpus: that
-is the bound for the driver and the broadcast. Slots are named by hashes; the model keeps them as
-sorted hash arrays with one column of log-probabilities and one of back-off weights per class.
+up n-grams by their hash of ``bits`` bits (64: the full hash, so different grams are not merged) and
+sends them when it holds ``HELD`` or ends; grams are summed by key after a map-side combine. What is
+gathered, the model and its broadcast have one row for each distinct gram within words: they grow with
+the corpus as its grams do, without a bound. The model keeps them as sorted hash arrays with one column
+of log-probabilities and one of back-off weights per class; it is computed on the driver.
 
 Scoring looks up all n-grams of many words together by binary search.
 """
@@ -32,6 +32,7 @@ from eventloom.llm.common import slices
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DISCOUNT = 0.75
 FLUSH = 200_000  # distinct words that a task counts before it adds them up
+HELD = 1_000_000  # grams that a task adds up before it sends them
 
 
 def words_of(text: str) -> list[str]:
@@ -39,7 +40,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _hash(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Slots of the ``order``-grams that end at each character; meaningless where a word is shorter."""
+    """Keys of the ``order``-grams that end at each character; meaningless where a word is shorter."""
     h = np.zeros(len(codes), np.uint64)
     for back in range(order):
         h[back:] = (h[back:] ^ codes[: len(codes) - back].astype(np.uint64) + np.uint64(back + 1)) * MIX
@@ -65,8 +66,7 @@ def count_grams(texts: DataFrame, classes: int, order: int, bits: int) -> DataFr
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = [Counter() for _ in range(classes)]
-        table = np.zeros((order + 1, classes, 1 << bits), np.int32)
-        suffix, context = (np.full((order + 1, 1 << bits), -1, np.int32) for _ in range(2))
+        held: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}  # (n, class): slots, counts, suffixes, contexts
 
         def add() -> None:
             for c, counter in enumerate(counts):
@@ -78,13 +78,22 @@ def count_grams(texts: DataFrame, classes: int, order: int, bits: int) -> DataFr
                     slots = [_hash(codes, n, bits) for n in range(1, order + 1)]
                     for n in range(1, order + 1):
                         here = np.flatnonzero(place >= max(n - 1, 1))
-                        slot = slots[n - 1][here]
-                        added = np.bincount(slot, times[here], 1 << bits)
-                        table[n, c] = np.minimum(table[n, c] + added, 2**31 - 1)
-                        if n > 1:
-                            suffix[n, slot], context[n, slot] = slots[n - 2][here], slots[n - 2][here - 1]
+                        up, back = (slots[n - 2][here], slots[n - 2][here - 1]) if n > 1 else (np.full(len(here), -1),) * 2
+                        new = (slots[n - 1][here], times[here], up, back)
+                        both = [np.concatenate(x) for x in zip(held[n, c], new)] if (n, c) in held else new
+                        slot, first, of = np.unique(both[0], return_index=True, return_inverse=True)
+                        total = np.zeros(len(slot), np.int64)
+                        np.add.at(total, of, both[1])
+                        held[n, c] = (slot, total, both[2][first], both[3][first])
                 counter.clear()
 
+        def send() -> Iterator[pd.DataFrame]:
+            for (n, c), arrays in held.items():
+                for at in range(0, len(arrays[0]), 100_000):
+                    slot, count, up, back = (x[at : at + 100_000] for x in arrays)
+                    yield pd.DataFrame({"n": n, "slot": slot, "cls": c, "count": count, "suffix": up, "context": back})
+            held.clear()
+
         for batch in batches:
             for c, texts_of in batch.groupby("cls")["text"]:
                 for some in slices(texts_of):
@@ -92,16 +101,12 @@ def count_grams(texts: DataFrame, classes: int, order: int, bits: int) -> DataFr
                         counts[int(c)].update(words_of(text))
                     if sum(map(len, counts)) > FLUSH:
                         add()
+                        if sum(len(x[0]) for x in held.values()) > HELD:
+                            yield from send()
         add()
-        for n in range(1, order + 1):
-            c, slot = np.nonzero(table[n])
-            for at in range(0, len(slot), 100_000):
-                s, k = slot[at : at + 100_000], c[at : at + 100_000]
-                yield pd.DataFrame(
-                    {"n": n, "slot": s, "cls": k, "count": table[n, k, s], "suffix": suffix[n, s], "context": context[n, s]}
-                )
-
-    rows = texts.select("text", "cls").mapInPandas(task, "n int, slot int, cls int, count long, suffix int, context int")
+        yield from send()
+
+    rows = texts.select("text", "cls").mapInPandas(task, "n int, slot long, cls int, count long, suffix long, context long")
     return rows.groupBy("n", "slot", "cls").agg(
         F.sum("count").alias("count"), F.max("suffix").alias("suffix"), F.max("context").alias("context")
     )

@@ -11,7 +11,7 @@ Learning: models read all labelled documents whose fold is in ``READ``, calibrat
 about ``SAMPLE`` documents of fold ``CALIBRATE`` (chosen by a hash of the id); fold 0 is never read.
 
 Scale: one pass over the labelled texts and one scan for scoring, no shuffle of texts while the labels
-fit a broadcast. Model size is bounded by slots.
+fit a broadcast. Models hold every distinct n-gram.
 
 Defined results: null and empty texts have no evidence and get the score that evidence zero gets.
 Without labels of both classes all scores are the share of toxic labels (0 without any). Rows with
@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType
 from eventloom.llm import kneser_ney
 from eventloom.llm.common import Memo, fold, in_worker, labelled, sample, slices, table
 
-ORDER, BITS, SHARED = 5, 19, 2
+ORDER, BITS, SHARED = 5, 64, 2
 WINDOWS = (4, 16, 64)
 READ, CALIBRATE = (1, 2, 3), 4
 SAMPLE = 20_000
