@@ -193,9 +193,14 @@ def unit(x: np.ndarray, kind=np.float64) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(kind)
 
 
-def search(graph: Graph, exact: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+def others(hits: np.ndarray, own: int) -> np.ndarray:
+    return hits[hits != own]
+
+
+def search(graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Verified hits of unit vectors (double precision), some queries at a time; the beam is wide
-    enough for the audited recall."""
+    enough for the audited recall. ``own`` is each query's node, which is no hit of it, or -1."""
+    own = np.full(len(queries), -1) if own is None else own
     single, beam = queries.astype(np.float32), BEAM
     audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
     truth = [np.flatnonzero(row) for row in queries[audited] @ exact.T >= THRESHOLD]
@@ -207,29 +212,31 @@ def search(graph: Graph, exact: np.ndarray, queries: np.ndarray) -> Iterator[tup
         beam *= 2
     for at in range(0, len(queries), AT_ONCE):
         found = graph.within(single[at : at + AT_ONCE], THRESHOLD - NARROW, min(beam, max(len(exact), 1)))
-        yield at, [h[exact[h] @ q >= THRESHOLD] for h, q in zip(found, queries[at : at + AT_ONCE])]
+        yield at, [others(h[exact[h] @ q >= THRESHOLD], i) for h, q, i in zip(found, queries[at : at + AT_ONCE], own[at : at + AT_ONCE])]
 
 
 def _index(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One shard's graph, packed."""
     x = np.stack(rows["embedding"].to_numpy())
     graph, packed = Graph(unit(x, np.float32)), io.BytesIO()
-    np.savez(packed, x=x, entry=graph.entry, rep=rows["rep"].to_numpy(), copies=rows["copies"].to_numpy(), *graph.near)
+    np.savez(packed, x=x, entry=graph.entry, vec=rows["vec"].to_numpy().astype(bytes), rep=rows["rep"].to_numpy(), copies=rows["copies"].to_numpy(), *graph.near)
     return pd.DataFrame({"shard": [key[0]], "packed": [packed.getvalue()]})
 
 
 def _answer(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    """(vec, links) of each query with links in the shard, and links (a, b) that span its components."""
+    """(vec, links) of each query with links to other vectors of the shard, and links (a, b) that span its components."""
     if not len(queries) or not len(index):
         return pd.DataFrame({"vec": [], "links": [], "a": [], "b": []}, dtype=object)
     with np.load(io.BytesIO(index["packed"].iloc[0])) as z:
-        x, rep, copies, entry = z["x"], z["rep"], z["copies"], int(z["entry"])
+        x, vec, rep, copies, entry = z["x"], z["vec"], z["rep"], z["copies"], int(z["entry"])
         near = [z[f"arr_{i}"] for i in range(sum(name.startswith("arr_") for name in z.files))]
     exact, asked = unit(x), unit(np.stack(queries["embedding"].to_numpy()))
     graph, own = Graph(exact.astype(np.float32), near, entry), queries["rep"].to_numpy()
+    node_of = {v: i for i, v in enumerate(vec.tolist())}
+    itself = np.array([node_of.get(v.encode(), -1) for v in queries["vec"]])
     nodes, place = np.unique(np.concatenate([own, rep]), return_inverse=True)
     label, links = np.arange(len(nodes)), np.zeros(len(own), np.int64)
-    for at, found in search(graph, exact, asked):
+    for at, found in search(graph, exact, asked, itself):
         a = np.repeat(place[at : at + len(found)], [len(h) for h in found])
         h = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
         links[at : at + len(found)] = [copies[x_].sum() for x_ in found]
@@ -276,13 +283,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         .applyInPandas(_answer, "vec string, links long, a long, b long")
     )
     roots = cut(components(answers.filter("a is not null").select("a", "b")))
-    # a vector meets itself in its own shard: its copies are counted there, itself with them
-    degree = answers.filter("vec is not null").groupBy("vec").agg((F.sum("links") - 1).alias("n_links"))
+    # copies of a vector are known without the search, which leaves the vector itself out
+    degree = answers.filter("vec is not null").groupBy("vec").agg(F.sum("links").alias("others"))
+    n_links = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
     per_vec = (
-        reps.select("vec", "rep")
+        reps.select("vec", "rep", "copies")
         .join(degree, "vec", "left")
         .join(roots, F.col("rep") == roots["node"], "left")
-        .select(F.col("vec").alias("v"), "rep", "n_links", F.coalesce("root", "rep").alias("component"))
+        .select(F.col("vec").alias("v"), "rep", n_links.alias("n_links"), F.coalesce("root", "rep").alias("component"))
     )
     # rows of one id with different vectors are one node
     own = named.filter("vec_id is not null").groupBy("vec_id").agg(F.min("vec").alias("one"), F.max("vec").alias("other"))
