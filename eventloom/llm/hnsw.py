@@ -2,8 +2,10 @@
 
 Vectors are dealt into shards; each shard gets a graph (Malkov and Yashunin, 2018), and every vector
 queries every shard. A query whose beam is full of near-duplicates goes on through the graph from all
-of them until no neighbour is close enough. Each task audits itself: ``AUDITED`` of its queries are
-compared with all vectors of the shard, and the beam is doubled until their recall reaches ``RECALL``.
+of them until no neighbour is close enough. Each task audits itself: queries are drawn and compared with
+all vectors of the shard until ``AUDITED`` of them have true partners (others than themselves) or none is
+left, and the beam is doubled until the mean of these queries' recalls reaches ``RECALL``. Where no beam
+below one ``WIDEST``-th of the shard does, all queries are compared with all vectors instead.
 Every candidate is verified by its cosine in double precision. Links are united to components.
 
 Scale: exact copies are one vector before indexing, so a group of copies is one query and one node.
@@ -36,7 +38,7 @@ THRESHOLD = 0.95
 SHARDS, SHARD, BLOCK = 4, 50_000, 8_192
 NEAR, BUILD_BEAM, BEAM = 12, 32, 32  # neighbours above the ground layer (twice as many there), beams
 AT_ONCE, EXPANDED = 256, 4  # queries that descend together, nodes that each expands in a step
-AUDITED, RECALL = 64, 0.99
+AUDITED, RECALL, WIDEST = 64, 0.99, 8
 NARROW = 1e-4  # single-precision margin below the threshold; double precision decides
 
 
@@ -197,22 +199,45 @@ def others(hits: np.ndarray, own: int) -> np.ndarray:
     return hits[hits != own]
 
 
+def partners(exact: np.ndarray, queries: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """All vectors within the threshold of each query, itself excepted."""
+    return [others(np.flatnonzero(row), o) for row, o in zip(queries @ exact.T >= THRESHOLD, own)]
+
+
+def audited(graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray) -> int | None:
+    """Beam at which the mean recall of queries with true partners reaches ``RECALL``; None if none does."""
+    order, drawn, truth = np.random.default_rng(len(queries)).permutation(len(queries)), [], []
+    for at in range(0, len(order), AUDITED):
+        some = order[at : at + AUDITED]
+        found = partners(exact, queries[some], own[some])
+        drawn += [i for i, t in zip(some, found) if len(t)]
+        truth += [t for t in found if len(t)]
+        if len(drawn) >= AUDITED:
+            break
+    if not drawn:  # then every query has been compared, and there is nothing to find
+        return BEAM
+    single, beam = queries[drawn].astype(np.float32), BEAM
+    while beam * WIDEST <= len(exact):
+        got = graph.within(single, THRESHOLD - NARROW, beam)
+        if np.mean([len(np.intersect1d(t, g)) / len(t) for t, g in zip(truth, got)]) >= RECALL:
+            return beam
+        beam *= 2
+    return None
+
+
 def search(graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Verified hits of unit vectors (double precision), some queries at a time; the beam is wide
     enough for the audited recall. ``own`` is each query's node, which is no hit of it, or -1."""
     own = np.full(len(queries), -1) if own is None else own
-    single, beam = queries.astype(np.float32), BEAM
-    audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    truth = [np.flatnonzero(row) for row in queries[audited] @ exact.T >= THRESHOLD]
-    wanted = sum(map(len, truth))
-    while beam < len(exact):
-        got = graph.within(single[audited], THRESHOLD - NARROW, beam)
-        if sum(len(np.intersect1d(t, g)) for t, g in zip(truth, got)) >= RECALL * wanted:
-            break
-        beam *= 2
-    for at in range(0, len(queries), AT_ONCE):
-        found = graph.within(single[at : at + AT_ONCE], THRESHOLD - NARROW, min(beam, max(len(exact), 1)))
-        yield at, [others(h[exact[h] @ q >= THRESHOLD], i) for h, q, i in zip(found, queries[at : at + AT_ONCE], own[at : at + AT_ONCE])]
+    beam, single = audited(graph, exact, queries, own), queries.astype(np.float32)
+    step = AT_ONCE if beam else AUDITED
+    for at in range(0, len(queries), step):
+        q, o = queries[at : at + step], own[at : at + step]
+        if beam is None:
+            yield at, partners(exact, q, o)
+            continue
+        found = graph.within(single[at : at + step], THRESHOLD - NARROW, min(beam, max(len(exact), 1)))
+        yield at, [others(h[exact[h] @ x >= THRESHOLD], i) for h, x, i in zip(found, q, o)]
 
 
 def _index(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,39 @@ import pandas as pd
 from eventloom.llm import hnsw
 
 
+class Narrow:
+    """Finds a query itself and a large group at any beam, pairs only from ``needs`` on."""
+
+    def __init__(self, x, needs, group):
+        self.x, self.needs, self.group = x, needs, group
+
+    def within(self, q, limit, beam):
+        hits = [np.flatnonzero(row) for row in q @ self.x.T >= limit]
+        return [h if len(h) > 2 or beam >= self.needs else h[:0] for h in hits]
+
+
+def pairs_and_group():
+    draw = np.random.default_rng(1)
+    lone = draw.standard_normal((2000, 24))
+    pairs = np.repeat(draw.standard_normal((60, 24)), 2, 0) + 0.01 * draw.standard_normal((120, 24))
+    group = draw.standard_normal((1, 24)) + 0.01 * draw.standard_normal((900, 24))
+    return hnsw.unit(np.concatenate([lone, pairs, group]))
+
+
+def test_audit_sees_pairs_beside_a_large_group():
+    x = pairs_and_group()
+    for needs in (64, 10**9):
+        found = [h for _, some in hnsw.search(Narrow(x.astype(np.float32), needs, 900), x, x, np.arange(len(x))) for h in some]
+        assert [len(h) for h in found[2000:2120]] == [1] * 120
+        assert all(i not in h for i, h in enumerate(found))
+
+
+def test_audit_draws_until_partners_are_met():
+    x = pairs_and_group()[:2120]
+    found = [h for _, some in hnsw.search(Narrow(x.astype(np.float32), 10**9, 0), x, x, np.arange(len(x))) for h in some]
+    assert sum(map(len, found)) == 120
+
+
 def test_self_hits_are_no_links():
     rows = pd.DataFrame(
         {"vec": ["aa", "bb", "cc"], "rep": [1, 2, 3], "copies": [5000, 2, 1], "embedding": [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]]}
