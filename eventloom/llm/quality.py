@@ -20,7 +20,6 @@ result; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,6 @@ STATISTICS = (
 )
 WIDTH, BANDWIDTH, RIDGE, SEED = 256, 3.0, 1e-3, 7
 SAMPLE, TASKS, CALIBRATE = 50_000, 16, 4
-BLOCK = 50_000  # words of a text that are counted together
 
 
 def statistics(text: str | None) -> np.ndarray:
@@ -61,14 +59,13 @@ def statistics(text: str | None) -> np.ndarray:
     if words:
         n = len(words)
         lengths = np.fromiter(map(len, words), np.int64, n)
-        blocks = [words[at : at + BLOCK] for at in range(0, n, BLOCK)]
-        counts = [Counter(b) for b in blocks]
-        pairs = sum(len(set(zip(b, b[1:]))) for b in blocks)
+        index: dict[str, int] = {}
+        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, n)
         out[1], out[2], out[3] = np.log1p(n), lengths.mean(), lengths.std()
-        out[4] = sum(map(len, counts)) / n
-        out[5] = sum(c.most_common(1)[0][1] for c in counts) / n
-        out[6] = sum(a == b for a, b in zip(words, words[1:])) / n
-        out[7] = pairs / n
+        out[4] = len(index) / n
+        out[5] = np.bincount(ids).max() / n
+        out[6] = (ids[1:] == ids[:-1]).sum() / n
+        out[7] = len(np.unique(ids[:-1] * len(index) + ids[1:])) / n
         out[14] = sum(not w[-1].isalnum() for w in words) / n
         out[17] = sum(len(w) == 1 and not w.isalnum() for w in words) / n
     return out
