@@ -411,6 +411,16 @@ def citation_exact(spark, sf):
     )
 
 
+@query("citation_all_kinds")
+def citation_all_kinds(spark, sf):
+    """Cited items of all kinds: edges, facts and nodes."""
+    cited = ci.cite(_cited_items(spark, sf), _contents(spark, sf), fuzzy=False)
+    return cited.where("citation is not null").select(
+        "doc_id", "kind", "citation.char_start", "citation.char_end", "citation.sentence_num",
+        "citation.paragraph_num", "citation.match_type",
+    )
+
+
 @query("citation_summary", f"""WITH s AS (SELECT lower(text) AS content, {_STRIP.format("list_extract(string_split(text, '. '), -1)")} AS last,
   string_split(text, chr(10))[1] AS line, regexp_extract(text, '([a-z]{{5,}})', 1) AS word FROM documents),
 i AS (SELECT unnest([

@@ -223,6 +223,17 @@ def event_node_attributes(spark, sf):
     return merged.select("event_key", "node_type", "lname", F.try_element_at("attributes", F.lit("brand")).alias("brand"))
 
 
+@query("event_node_attributes_all")
+def event_node_attributes_all(spark, sf):
+    """Merged attributes of nodes of all types, one row per attribute."""
+    no = F.substring("local_id", 2, 20)
+    nodes = t.kg_nodes(spark, sf).withColumn(
+        "node_seq", F.col("node_seq") * 1000000 + F.when(no == "", F.lit(0)).otherwise(no.cast("bigint"))
+    )
+    merged = ev.event_node_attributes(_groups(spark, sf), nodes)
+    return merged.select("event_key", "node_type", "lname", F.explode("attributes").alias("attribute", "value"))
+
+
 @query("unified_nodes", f"""WITH {_STAGE1}
 SELECT node_type, lname, round(sum(weight), 6) AS total_weight, CAST(count(*) AS BIGINT) AS event_appearances
 FROM en GROUP BY node_type, lname""")

@@ -320,6 +320,17 @@ def attributes_first_wins(spark, sf):
     return pick(first, "kind").join(pick(last, "last_kind"), keys)
 
 
+@query("attributes_first_wins_all")
+def attributes_first_wins_all(spark, sf):
+    """First and last value of every attribute of nodes of all types."""
+    nodes = _unique_nodes(spark, sf).withColumn("lname", F.lower("name"))
+    keys = ["node_type", "lname"]
+    first = merge_maps(nodes, keys, "attributes", F.col("node_seq"), last_wins=False)
+    last = merge_maps(nodes, keys, "attributes", F.col("node_seq"), last_wins=True)
+    each = lambda df, name: df.select(*keys, F.explode("attributes").alias("attribute", name))
+    return each(first, "value").join(each(last, "last_value"), [*keys, "attribute"])
+
+
 # ---- equivalence sets --------------------------------------------------------------------
 
 
