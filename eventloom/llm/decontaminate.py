@@ -15,8 +15,8 @@ aligned slice of the document, as long as the item, never the document. Hits red
 document and item before and after the shuffle.
 
 Defined results: null or empty texts and items have no windows; an item with fewer words than the
-widest mask is compared with the masks that fit, one with fewer words than the narrowest mask is
-compared whole by one hash. Repeated items and repeated rows give equal findings; rows with the same
+widest mask is compared with the masks that fit, and one of 5 words with masks for each inner word; one
+with fewer words than the narrowest mask is found whole anywhere in a document. Repeated items and repeated rows give equal findings; rows with the same
 id (null included) are reported together with the best overlap. Empty tables give empty results.
 Other columns are not looked at.
 """
@@ -34,6 +34,9 @@ WINDOW = 13
 SHARE = 0.8
 BROADCAST_ROWS = 2_000_000  # seeds of 40 bytes: 80 MB
 
+#: Only for items of so many words: one of 5 may differ anywhere in one word, shorter ones must agree whole.
+MASKS_OF = {1: ("1",), 2: ("11",), 3: ("111",), 5: ("11011", "10111", "11101")}
+
 NARROWEST = min(len(m) for m in MASKS)
 
 
@@ -49,21 +52,27 @@ def seed(hashes: Column, at: Column, mask: str, salt: int) -> Column:
     return F.xxhash64(F.lit(salt), *looked)
 
 
-def seeds(frame: DataFrame, hashes: str, *kept: str) -> DataFrame:
+def seeds(frame: DataFrame, hashes: str, *kept: str, lengths: tuple[int, ...] = (), whole: bool = False) -> DataFrame:
     """One row for each mask and window: the kept columns, ``at`` and ``seed``.
 
-    Texts shorter than the narrowest mask have one window, hashed whole.
+    Texts shorter than the narrowest mask have one window, hashed whole. The masks of ``MASKS_OF`` for
+    ``lengths`` are used too, with ``whole`` only on texts of just that length.
     """
     n = F.size(hashes)
+    narrowest = min([NARROWEST, *lengths])
     windows = frame.select(
-        hashes, *kept, F.explode(F.sequence(F.lit(0), F.greatest(n - NARROWEST, F.lit(0)))).alias("at")
+        hashes, *kept, F.explode(F.sequence(F.lit(0), F.greatest(n - narrowest, F.lit(0)))).alias("at")
     )
     h, at = F.col(hashes), F.col("at")
-    short = F.when((n > 0) & (n < NARROWEST), F.xxhash64(F.lit(-1), h))
+    short = F.when((n > 0) & (n < NARROWEST) & (at == 0), F.xxhash64(F.lit(-1), h))
     each = [
         F.when(at + len(m) <= n, seed(h, at, m, k)) if k else F.coalesce(short, F.when(at + len(m) <= n, seed(h, at, m, k)))
         for k, m in enumerate(MASKS)
     ]
+    extra = [m for length in lengths for m in MASKS_OF[length]]
+    for m in extra:
+        fits = n == len(m) if whole else at + len(m) <= n
+        each.append(F.when(fits & (at + len(m) <= n), seed(h, at, m, int("2" + m))))
     exploded = windows.select(hashes, *kept, "at", F.explode(F.array(*each)).alias("seed"))
     return exploded.filter("seed is not null")
 
@@ -82,13 +91,15 @@ def agreement(words: Column, other: Column) -> Column:
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, overlap (``SHARE`` to 1): one row for each document and item that overlap."""
     wanted = cut(items.select(items[item_id].alias("item_id"), word_hashes(items[text]).alias("item_words")))
-    of_items = seeds(wanted, "item_words", "item_id").select(
+    lengths = wanted.select(F.size("item_words").alias("n")).filter(F.col("n").isin(*MASKS_OF)).distinct().collect()
+    lengths = tuple(sorted(r.n for r in lengths))
+    of_items = seeds(wanted, "item_words", "item_id", lengths=lengths, whole=True).select(
         "item_id", "item_words", F.col("at").alias("item_at"), F.col("seed").alias("item_seed")
     )
     of_items = cut(of_items)
     if of_items.count() <= BROADCAST_ROWS:
         of_items = F.broadcast(of_items)
-    of_docs = seeds(docs.select(docs[doc_id].alias("doc_id"), word_hashes(docs[text]).alias("words")), "words", "doc_id")
+    of_docs = seeds(docs.select(docs[doc_id].alias("doc_id"), word_hashes(docs[text]).alias("words")), "words", "doc_id", lengths=lengths)
     m, shift = F.size("item_words"), F.col("at") - F.col("item_at")
     nothing = lambda n: F.array_repeat(F.lit(None).cast("long"), F.greatest(n, F.lit(0)))
     # the document's words under the item, as many; positions outside the document agree with nothing
