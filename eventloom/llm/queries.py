@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from eventloom.llm import arrow_ids, decontaminate, hnsw, language, pieces, pii, quality, simhash, token_counts, toxicity
+from eventloom.llm import (
+    arrow_ids,
+    byte_bpe,
+    decontaminate,
+    hnsw,
+    language,
+    pieces,
+    pii,
+    quality,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_language": language.query,
     "op9_simhash": simhash.query,
     "op10_decontamination": decontaminate.query,
+    "op13_byte_bpe": byte_bpe.query,
 }
 
 ORACLES: dict[str, str] = {}
