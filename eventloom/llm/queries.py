@@ -7,6 +7,7 @@ from eventloom.llm import (
     byte_bpe,
     decontaminate,
     hnsw,
+    importance,
     language,
     pieces,
     pii,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_language": language.query,
     "op9_simhash": simhash.query,
     "op10_decontamination": decontaminate.query,
+    "op12_importance": importance.query,
     "op13_byte_bpe": byte_bpe.query,
 }
 
