@@ -13,6 +13,7 @@ from eventloom.llm import (
     pii,
     quality,
     simhash,
+    spelling,
     token_counts,
     toxicity,
 )
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_language": language.query,
     "op9_simhash": simhash.query,
     "op10_decontamination": decontaminate.query,
+    "op11_spelling": spelling.query,
     "op12_importance": importance.query,
     "op13_byte_bpe": byte_bpe.query,
 }
