@@ -411,7 +411,15 @@ def citation_exact(spark, sf):
     )
 
 
-@query("citation_all_kinds")
+@query("citation_all_kinds", f"""WITH s AS (SELECT doc_id, text AS content, unnest([
+    {{kind: 'edge', match_type: 'exact', needle: lower({_STRIP.format("list_extract(string_split(text, '. '), -1)")})}},
+    {{kind: 'fact', match_type: 'exact', needle: lower(replace(string_split(text, chr(10))[1], 'ß', 'ss'))}},
+    {{kind: 'node', match_type: 'partial', needle: regexp_extract(text, '([a-z]{{5,}})', 1)}}]) AS item FROM documents),
+p AS (SELECT *, CASE WHEN item.needle <> '' THEN strpos(lower(content), item.needle) ELSE 0 END AS found FROM s),
+h AS (SELECT *, substr(content, 1, found - 1) AS head FROM p WHERE found > 0)
+SELECT doc_id, item.kind AS kind, CAST(found - 1 AS INTEGER) AS char_start, CAST(found - 1 + length(item.needle) AS INTEGER) AS char_end,
+  CAST(length(head) - length(replace(head, '.', '')) + 1 AS INTEGER) AS sentence_num,
+  CAST((length(head) - length(replace(head, chr(10) || chr(10), ''))) // 2 + 1 AS INTEGER) AS paragraph_num, item.match_type AS match_type FROM h""")
 def citation_all_kinds(spark, sf):
     """Cited items of all kinds: edges, facts and nodes."""
     cited = ci.cite(_cited_items(spark, sf), _contents(spark, sf), fuzzy=False)

@@ -8,7 +8,7 @@ from ..operators import document_events as doc
 from ..operators import events as ev
 from ..sources import tables as t
 from .registry import (
-    MENTIONS, NODES, ORDER_MENTIONS, RESOLVED, SIGNED, query, r6,
+    ATTRIBUTES, MENTIONS, NODES, ORDER_MENTIONS, RESOLVED, SIGNED, query, r6,
 )
 
 WEIGHT_SQL = """
@@ -76,25 +76,16 @@ def _neighbours_sql() -> str:
     return " UNION ALL ".join(branches)
 
 
-@query("signature_candidates", f"""WITH {_EVENTS_SQL},
-sides AS (SELECT sig_actor, sig_action, sig_date, sig_location, event_id, max(is_new) AS is_new, max(is_known) AS is_known FROM (
-  SELECT *, date_part('hour', last_updated) % 3 = 0 AS is_new, date_part('hour', last_updated) % 3 <> 1 AS is_known FROM stored) WHERE is_new OR is_known GROUP BY ALL),
-pairs AS ({_neighbours_sql()})
-SELECT a.event_id AS new_id, b.event_id AS event_id, differs_in, CAST(0.75 AS DOUBLE) AS similarity FROM pairs WHERE a.is_new AND b.is_known
-UNION ALL SELECT b.event_id, a.event_id, differs_in, CAST(0.75 AS DOUBLE) FROM pairs WHERE b.is_new AND a.is_known""")
-def signature_candidates(spark, sf):
-    stored = _stored_events(spark, sf)
-    part = F.hour("last_updated") % 3
-    new = stored.where(part == 0).withColumnRenamed("event_id", "new_id")
-    return ev.signature_candidates(new, stored.where(part != 1))
-
-
-@query("signature_candidates_all", f"""WITH {_EVENTS_SQL},
+_CANDIDATES = f"""WITH {_EVENTS_SQL},
 sides AS (SELECT *, true AS is_new, true AS is_known FROM stored),
 pairs AS ({_neighbours_sql()})
 SELECT a.event_id AS new_id, b.event_id AS event_id, differs_in, CAST(0.75 AS DOUBLE) AS similarity FROM pairs WHERE b.event_id IS NOT NULL
-UNION ALL SELECT b.event_id, a.event_id, differs_in, CAST(0.75 AS DOUBLE) FROM pairs WHERE b.event_id IS NOT NULL""")
-def signature_candidates_all(spark, sf):
+UNION ALL SELECT b.event_id, a.event_id, differs_in, CAST(0.75 AS DOUBLE) FROM pairs WHERE b.event_id IS NOT NULL"""
+
+
+@query("signature_candidates_all", _CANDIDATES)
+@query("signature_candidates", _CANDIDATES)
+def signature_candidates(spark, sf):
     """All mentions, by distinct signature, against the whole stored table."""
     signed = ev.with_signature(t.mentions(spark, sf))
     new = signed.select(*ev.SIGNATURE_PARTS, F.col("signature").alias("new_id")).distinct()
@@ -210,28 +201,31 @@ def event_edges(spark, sf):
     return _event_edges(spark, sf).withColumn("weight", r6("weight"))
 
 
-@query("event_node_attributes", f"""WITH {_GROUPS}, {NODES}, a AS (
-  SELECT event_key, node_type, lower(name) AS lname, arg_max(brand, node_seq * 1000000 + CAST(substr(local_id, 2) AS BIGINT)) AS brand
-  FROM grp JOIN kg_nodes USING (analysis_id) WHERE node_type = 'part' GROUP BY ALL)
-SELECT * FROM a""")
-def event_node_attributes(spark, sf):
-    part_no = F.substring("local_id", 2, 20).cast("bigint")
-    parts = t.kg_nodes(spark, sf).where("node_type = 'part'").withColumn(
-        "node_seq", F.col("node_seq") * 1000000 + part_no
+def _merged_attributes(spark, sf):
+    no = F.substring("local_id", 2, 20)
+    nodes = t.kg_nodes(spark, sf).withColumn(
+        "node_seq", F.col("node_seq") * 1000000 + F.when(no == "", F.lit(0)).otherwise(no.cast("bigint"))
     )
-    merged = ev.event_node_attributes(_groups(spark, sf), parts)
-    return merged.select("event_key", "node_type", "lname", F.try_element_at("attributes", F.lit("brand")).alias("brand"))
+    return ev.event_node_attributes(_groups(spark, sf), nodes)
 
 
-@query("event_node_attributes_all")
+@query("event_node_attributes", f"""WITH {_GROUPS}, {ATTRIBUTES}
+SELECT event_key, node_type, lname, arg_max(value, seq) FILTER (WHERE attribute = 'brand') AS brand
+FROM grp JOIN attrs USING (analysis_id) GROUP BY event_key, node_type, lname""")
+def event_node_attributes(spark, sf):
+    """The brand of each node, null for nodes of types that have none."""
+    brand = F.try_element_at("attributes", F.lit("brand")).alias("brand")
+    return _merged_attributes(spark, sf).select("event_key", "node_type", "lname", brand)
+
+
+@query("event_node_attributes_all", f"""WITH {_GROUPS}, {ATTRIBUTES}
+SELECT event_key, node_type, lname, attribute, arg_max(value, {{s: seq, v: value}}) AS value
+FROM grp JOIN attrs USING (analysis_id) GROUP BY event_key, node_type, lname, attribute""")
 def event_node_attributes_all(spark, sf):
     """Merged attributes of nodes of all types, one row per attribute."""
-    no = F.substring("local_id", 2, 20)
-    nodes = t.kg_nodes(spark, sf).withColumn(
-        "node_seq", F.col("node_seq") * 1000000 + F.when(no == "", F.lit(0)).otherwise(no.cast("bigint"))
+    return _merged_attributes(spark, sf).select(
+        "event_key", "node_type", "lname", F.explode("attributes").alias("attribute", "value")
     )
-    merged = ev.event_node_attributes(_groups(spark, sf), nodes)
-    return merged.select("event_key", "node_type", "lname", F.explode("attributes").alias("attribute", "value"))
 
 
 @query("unified_nodes", f"""WITH {_STAGE1}

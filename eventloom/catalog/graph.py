@@ -10,7 +10,7 @@ from ..operators import filters as fl
 from ..operators import graph as g
 from ..session import cut
 from ..sources import tables as t
-from .registry import EDGES, MENTIONS, NODES, RESOLVED, query, r6
+from .registry import ATTRIBUTES, EDGES, MENTIONS, NODES, RESOLVED, query, r6
 
 
 def _unique_nodes(spark, sf):
@@ -33,7 +33,7 @@ SELECT node_type AS type, lower(arg_min(name, useq)) AS lname, arg_min(timestamp
 FROM uniq GROUP BY node_type, lower(name)""")
 def node_upsert(spark, sf):
     nodes = fl.complete_nodes(_unique_nodes(spark, sf))
-    base, _more = g.upsert_nodes(g.place_nodes(nodes, cut(g.exact_entities(nodes))))
+    base, _more = g.upsert_nodes(cut(g.named_nodes(nodes)))
     return base.select(
         "type", F.lower("name").alias("lname"), "timestamp", "document_id", "mentions",
         F.try_element_at("attributes", F.lit("brand")).alias("brand"),
@@ -47,7 +47,7 @@ FROM uniq u JOIN f ON f.node_type = u.node_type AND f.lname = lower(u.name)
 WHERE useq <> first AND document_id <> doc GROUP BY u.node_type, f.lname""")
 def node_further_sources(spark, sf):
     nodes = _unique_nodes(spark, sf)
-    base, more = g.upsert_nodes(g.place_nodes(nodes, cut(g.exact_entities(nodes))))
+    base, more = g.upsert_nodes(cut(g.named_nodes(nodes)))
     names = base.select("node_id", "type", F.lower("name").alias("lname"))
     return (
         more.groupBy("node_id")
@@ -58,13 +58,10 @@ def node_further_sources(spark, sf):
 
 
 def _graph(spark, sf):
-    """Upserted graph by equal names: nodes and edges."""
+    """Graph by equal names: names of the nodes, and linked edges."""
     nodes = t.kg_nodes(spark, sf)
-    placed = g.place_nodes(nodes, cut(g.exact_entities(nodes)))
-    base, _ = g.upsert_nodes(placed)
     edges = fl.complete_edges(t.kg_edges(spark, sf))
-    linked = g.link_edges(edges, placed)
-    return base, linked
+    return g.exact_entities(nodes), g.link_edges(edges, g.named_nodes(nodes))
 
 
 @query("edge_upsert", f"""WITH {RESOLVED}
@@ -73,7 +70,7 @@ FROM resolved GROUP BY src_type, src_name, relation, dst_type, dst_name""")
 def edge_upsert(spark, sf):
     nodes, linked = _graph(spark, sf)
     edges, _more = g.upsert_edges(linked)
-    ends = nodes.select("node_id", "type", F.lower("name").alias("name"))
+    ends = nodes.select("node_id", "node_type", "norm")
     src = ends.toDF("src", "src_type", "src_name")
     dst = ends.toDF("dst", "dst_type", "dst_name")
     return edges.join(src, "src").join(dst, "dst").select(
@@ -93,7 +90,7 @@ UNION ALL SELECT 'graph', 'density', round((SELECT sum(n) FROM e) / (CAST((SELEC
 def graph_stats(spark, sf):
     nodes, linked = _graph(spark, sf)
     edges, _ = g.upsert_edges(linked)
-    return g.graph_statistics(nodes, edges).withColumn("value", r6("value"))
+    return g.graph_statistics(nodes.withColumnRenamed("node_type", "type"), edges).withColumn("value", r6("value"))
 
 
 def _plain_graph(spark, sf):
@@ -308,25 +305,32 @@ def entity_resolution(spark, sf):
     return found.join(ids, "node_id").select("node_type", "norm", "leader")
 
 
-@query("attributes_first_wins", f"""WITH {_UNIQ}
-SELECT node_type, lower(name) AS lname, arg_min(kind, useq) AS kind, arg_max(kind, useq) AS last_kind
-FROM uniq WHERE node_type = 'part' GROUP BY node_type, lower(name)""")
+def _first_and_last(spark, sf):
+    nodes = _unique_nodes(spark, sf).withColumn("lname", F.lower("name"))
+    keys = ["node_type", "lname"]
+    first = merge_maps(nodes, keys, "attributes", F.col("node_seq"), last_wins=False)
+    return first, merge_maps(nodes, keys, "attributes", F.col("node_seq"), last_wins=True)
+
+
+@query("attributes_first_wins", f"""WITH {ATTRIBUTES}
+SELECT node_type, lname, arg_min(value, seq) FILTER (WHERE attribute = 'kind') AS kind,
+       arg_max(value, seq) FILTER (WHERE attribute = 'kind') AS last_kind
+FROM attrs GROUP BY node_type, lname""")
 def attributes_first_wins(spark, sf):
-    parts = _unique_nodes(spark, sf).where("node_type = 'part'").withColumn("lname", F.lower("name"))
+    """First and last kind of each node, null for nodes of types that have none."""
+    first, last = _first_and_last(spark, sf)
     keys = ["node_type", "lname"]
-    first = merge_maps(parts, keys, "attributes", F.col("node_seq"), last_wins=False)
-    last = merge_maps(parts, keys, "attributes", F.col("node_seq"), last_wins=True)
     pick = lambda df, name: df.select(*keys, F.try_element_at("attributes", F.lit("kind")).alias(name))
     return pick(first, "kind").join(pick(last, "last_kind"), keys)
 
 
-@query("attributes_first_wins_all")
+@query("attributes_first_wins_all", f"""WITH {ATTRIBUTES}
+SELECT node_type, lname, attribute, arg_min(value, {{s: seq, v: value}}) AS value, arg_max(value, {{s: seq, v: value}}) AS last_value
+FROM attrs GROUP BY node_type, lname, attribute""")
 def attributes_first_wins_all(spark, sf):
     """First and last value of every attribute of nodes of all types."""
-    nodes = _unique_nodes(spark, sf).withColumn("lname", F.lower("name"))
+    first, last = _first_and_last(spark, sf)
     keys = ["node_type", "lname"]
-    first = merge_maps(nodes, keys, "attributes", F.col("node_seq"), last_wins=False)
-    last = merge_maps(nodes, keys, "attributes", F.col("node_seq"), last_wins=True)
     each = lambda df, name: df.select(*keys, F.explode("attributes").alias("attribute", name))
     return each(first, "value").join(each(last, "last_value"), [*keys, "attribute"])
 

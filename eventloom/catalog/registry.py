@@ -92,6 +92,24 @@ EDGES = """kg_edges AS (
   SELECT 'an_' || o_orderkey, o_orderkey * 100, 'c', 'performs', 'e', 1.0, o_orderpriority
   FROM orders)"""
 
+# every attribute of every payload node, a row each; seq is the place of the node, unique per node
+ATTRIBUTES = NODES + """, attrs AS (
+  SELECT analysis_id, node_type, lower(name) AS lname, node_seq * 1000000 + CAST(substr(local_id, 2) AS BIGINT) AS seq,
+         'brand' AS attribute, brand AS value FROM kg_nodes WHERE node_type = 'part'
+  UNION ALL
+  SELECT analysis_id, node_type, lower(name), node_seq * 1000000 + CAST(substr(local_id, 2) AS BIGINT), 'kind', kind
+  FROM kg_nodes WHERE node_type = 'part'
+  UNION ALL
+  SELECT 'an_' || l_orderkey, 'supplier', lower(s_name), (l_orderkey * 100 + l_linenumber * 2 + 3) * 1000000 + l_suppkey,
+         'flag', l_returnflag
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL
+  SELECT 'an_' || o_orderkey, 'event', 'order ' || lower(o_orderpriority), o_orderkey * 100 * 1000000, 'status', o_orderstatus
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL
+  SELECT 'an_' || o_orderkey, 'customer', lower(c_name), (o_orderkey * 100 + 1) * 1000000, 'segment', c_mktsegment
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
 RESOLVED = NODES + ", " + EDGES + """, ids AS (
   SELECT analysis_id, local_id, min(node_type) AS node_type, min(lower(name)) AS lname
   FROM kg_nodes GROUP BY ALL),

@@ -66,13 +66,14 @@ def relationship_evidence(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def weighted_relationships(evidence: DataFrame) -> DataFrame:
+    """Support of each pair of sets. Confidences are summed as decimals: the order of rows decides nothing."""
     found = evidence.groupBy(*PAIR_KEY).agg(
         F.count(F.lit(1)).alias("supporting_instances"),
-        F.sum("confidence").alias("total_weight"),
-        F.avg("confidence").alias("confidence"),
+        F.sum(F.col("confidence").cast("decimal(20,12)")).cast("double").alias("total_weight"),
     )
     return found.withColumns(
         {
+            "confidence": F.col("total_weight") / F.col("supporting_instances"),
             "src_set": set_id(F.col("src_type"), F.col("src_name")),
             "dst_set": set_id(F.col("dst_type"), F.col("dst_name")),
         }

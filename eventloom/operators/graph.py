@@ -82,6 +82,12 @@ def exact_entities(nodes: DataFrame) -> DataFrame:
     )
 
 
+def named_nodes(nodes: DataFrame) -> DataFrame:
+    """Payload nodes with the graph node of their own name: a function of type and name, no join."""
+    norm = normalized_name(F.col("name"))
+    return nodes.where(norm != "").withColumn("node_id", graph_node_id(F.col("node_type"), norm))
+
+
 def place_nodes(nodes: DataFrame, entities: DataFrame) -> DataFrame:
     """Payload nodes with the graph node they belong to, written once: node and edge upserts read
     it several times."""
@@ -96,14 +102,11 @@ def upsert_nodes(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     later mentions from another document become rows of the second frame.
     """
     fields = [c for c in ("name", "timestamp", "document_id", "source_sentence") if c in placed.columns]
-    # counts and first places fit a hash aggregate; the few first rows are then looked up by place
-    heads = placed.groupBy("node_id", "node_type").agg(
-        F.min("node_seq").alias("node_seq"), F.count(F.lit(1)).alias("mentions")
-    )
-    first = placed.select("node_id", "node_seq", *fields).join(heads, ["node_id", "node_seq"])
-    base = first.dropDuplicates(["node_id"]).select(
-        "node_id", F.col("node_type").alias("type"), *fields, "mentions", "node_seq"
-    )
+    base = placed.groupBy("node_id", F.col("node_type").alias("type")).agg(
+        F.min_by(F.struct(*fields), "node_seq").alias("first"),
+        F.count(F.lit(1)).alias("mentions"),
+        F.min("node_seq").alias("node_seq"),
+    ).select("node_id", "type", "first.*", "mentions", "node_seq")
     if "attributes" in placed.columns:
         merged = merge_maps(placed, ["node_id"], "attributes", F.col("node_seq"), last_wins=False)
         base = base.join(merged, "node_id", "left")
