@@ -12,6 +12,7 @@ from ..plans import exports as ex
 from ..session import fresh_dir
 from ..sources import tables as t
 from ..streaming import jobs as sj
+from ..streaming import weights as sw
 from .events import _STAGE1, WEIGHT_SQL
 from .registry import ARTICLES, SIGNED, query, r6
 
@@ -54,23 +55,41 @@ def stream_daily_history(spark, sf):
     return sj.read_history(spark, out)
 
 
-@query("stream_event_weight", f"""WITH {SIGNED}, g AS (
-{WEIGHT_SQL.format(keys="sig_actor, sig_action, sig_date, sig_location", frame="signed")})
-SELECT concat_ws('|', sig_actor, sig_action, sig_date, sig_location) AS signature, CAST(n AS BIGINT) AS source_count,
-       CAST(biases AS DOUBLE) AS weight FROM g""")
-def stream_event_weight(spark, sf):
+def _observations(events):
     user, bias = F.col("user_id"), F.col("user_id") % 4
-    obs = sj.table_stream(spark, sf, "events").select(
+    return events.select(
         F.concat(F.lit("User "), user.cast("string")).alias("actor"), F.col("event_type").alias("action"),
         F.date_format("ts", "yyyy-MM-dd").alias("date_raw"),
         F.concat(F.lit("loc "), F.get_json_object("props", "$.k")).alias("location"),
         F.concat(F.lit("src"), (user % 10).cast("string")).alias("source_name"),
         F.when(bias == 0, "left").when(bias == 1, "center").when(bias == 2, "right").alias("source_bias"),
     )
+
+
+@query("stream_event_weight", f"""WITH {SIGNED}, g AS (
+{WEIGHT_SQL.format(keys="sig_actor, sig_action, sig_date, sig_location", frame="signed")})
+SELECT concat_ws('|', sig_actor, sig_action, sig_date, sig_location) AS signature, CAST(n AS BIGINT) AS source_count,
+       CAST(biases AS DOUBLE) AS weight FROM g""")
+def stream_event_weight(spark, sf):
+    obs = _observations(sj.table_stream(spark, sf, "events"))
     out = _run(spark, lambda o, c: sj.weight_stream(obs, o, c), "weights")
     return sj.read_weights(spark, out).select("signature", "source_count", r6("weight").alias("weight"))
 
 
+@query("stream_stateful_weights", f"""WITH {SIGNED}, g AS (
+{WEIGHT_SQL.format(keys="sig_actor, sig_action, sig_date, sig_location", frame="signed")})
+SELECT concat_ws('|', sig_actor, sig_action, sig_date, sig_location) AS signature, CAST(n AS BIGINT) AS source_count,
+       CAST(biases AS DOUBLE) AS weight, CAST(names AS BIGINT) AS unique_sources FROM g""")
+def stream_stateful_weights(spark, sf):
+    """All events landed as three files, a micro-batch each, weighed with keyed state."""
+    landed = fresh_dir(spark, "landed")
+    t.table(spark, sf, "events").repartition(3, "event_id").write.parquet(landed)
+    stream = spark.readStream.schema(spark.read.parquet(landed).schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    out = fresh_dir(spark, "weights")
+    sw.stateful_weight_stream(_observations(stream), out, fresh_dir(spark, "cursor")).awaitTermination()
+    return sw.current_weights(spark, out).select("signature", "source_count", r6("weight").alias("weight"), "unique_sources")
+
+
 def _letter_embedding():
     """Stub embedding: vowel counts."""
 

@@ -8,8 +8,9 @@ from ..functions.maps import merge_maps
 from ..operators import equivalence as eq
 from ..operators import filters as fl
 from ..operators import graph as g
-from ..session import cut
+from ..session import cut, fresh_dir
 from ..sources import tables as t
+from ..sources.graph_store import GraphStore
 from .registry import ATTRIBUTES, EDGES, MENTIONS, NODES, RESOLVED, query, r6
 
 
@@ -419,3 +420,64 @@ def provenance_chain(spark, sf):
         "node_type", "canonical_name", "analysis_id", "kg_node_id", "article_title",
         r6("confidence_score").alias("confidence_score"),
     ).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- stored graph ------------------------------------------------------------------------
+
+_SPLIT = "1995-06-17"  # orders before this day are stored first, the others are folded in
+
+
+def _stored(spark, sf):
+    """All orders in a stored graph, in two batches."""
+    store = GraphStore(spark, fresh_dir(spark, "graph"), 8)
+    edges = fl.complete_edges(t.kg_edges(spark, sf))
+    day = F.col("timestamp")
+    for batch, part in ((1, day < _SPLIT), (2, day >= _SPLIT)):
+        placed = cut(g.named_nodes(_unique_nodes(spark, sf).where(part)))
+        store.upsert(batch, placed, g.link_edges(edges, placed))
+    return store
+
+
+_TURNS = _UNIQ + f""", turned AS (
+  SELECT *, {{t: CASE WHEN timestamp < '{_SPLIT}' THEN 1 ELSE 2 END, s: useq}} AS pos FROM uniq)"""
+
+
+@query("graph_store_nodes", f"""WITH {_TURNS}
+SELECT node_type AS type, lower(arg_min(name, pos)) AS lname, arg_min(timestamp, pos) AS timestamp,
+       arg_min(document_id, pos) AS document_id, CAST(count(*) AS BIGINT) AS mentions, arg_min(brand, pos) AS brand
+FROM turned GROUP BY node_type, lower(name)""")
+def graph_store_nodes(spark, sf):
+    return _stored(spark, sf).nodes().select(
+        "type", F.lower("name").alias("lname"), "timestamp", "document_id", "mentions",
+        F.try_element_at("attributes", F.lit("brand")).alias("brand"),
+    )
+
+
+@query("graph_store_edges", f"""WITH {RESOLVED}, day AS (
+  SELECT 'an_' || o_orderkey AS analysis_id, CASE WHEN strftime(o_orderdate, '%Y-%m-%d') < '{_SPLIT}' THEN 1 ELSE 2 END AS turn FROM orders),
+f AS (SELECT src_type, src_name, relation, dst_type, dst_name, count(*) AS n, min({{t: turn, s: edge_seq}}) AS pos
+      FROM resolved JOIN day USING (analysis_id) GROUP BY src_type, src_name, relation, dst_type, dst_name)
+SELECT src_type, src_name, relation, dst_type, dst_name, CAST(n AS BIGINT) AS mentions, CAST(pos.t AS INTEGER) AS turn, CAST(pos.s AS BIGINT) AS place FROM f""")
+def graph_store_edges(spark, sf):
+    store = _stored(spark, sf)
+    ends = store.nodes().select("node_id", "type", F.lower("name").alias("name"))
+    return (
+        store.edges().join(ends.toDF("src", "src_type", "src_name"), "src")
+        .join(ends.toDF("dst", "dst_type", "dst_name"), "dst")
+        .select("src_type", "src_name", "relation", "dst_type", "dst_name", "mentions", "turn", "place")
+    )
+
+
+@query("graph_store_sources", f"""WITH {_TURNS}, f AS (
+  SELECT node_type, lower(name) AS lname, arg_min(document_id, pos) AS doc, min(pos) AS first FROM turned GROUP BY ALL)
+SELECT u.node_type AS type, f.lname, CAST(count(*) AS BIGINT) AS further, CAST(count(DISTINCT document_id) AS BIGINT) AS documents
+FROM turned u JOIN f ON f.node_type = u.node_type AND f.lname = lower(u.name)
+WHERE pos <> first AND document_id <> doc GROUP BY u.node_type, f.lname""")
+def graph_store_sources(spark, sf):
+    store = _stored(spark, sf)
+    names = store.nodes().select("node_id", "type", F.lower("name").alias("lname"))
+    return (
+        store.sources().groupBy("node_id")
+        .agg(F.count(F.lit(1)).alias("further"), F.count_distinct("document_id").alias("documents"))
+        .join(names, "node_id").drop("node_id")
+    )

@@ -238,6 +238,11 @@ def weights_from_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.col("source_name").isNull().cast("int")).alias("unnamed"),
         F.max(F.col("date_raw").isNull().cast("int")).alias("undated"),
     )
+    return weights_from_counts(grouped, keys)
+
+
+def weights_from_counts(grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """Weight fields from source_count, biases, named, dates, unnamed and undated of each key."""
     # a missing date counts as one more value
     consistent = F.col("dates") + F.col("undated") <= 1
     diversity = F.col("biases") / F.col("source_count")
