@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import document_events as doc
 from ..operators import events as ev
+from ..operators import fuzzy_pairs as fp
 from ..sources import tables as t
 from .registry import (
     ATTRIBUTES, MENTIONS, NODES, ORDER_MENTIONS, RESOLVED, SIGNED, query, r6,
@@ -373,3 +374,31 @@ def actor_sequence(spark, sf):
         F.col("mention_seq").alias("seq"),
     )
     return doc.actor_sequences(performed)
+
+
+# ---- fuzzy pairs -------------------------------------------------------------------------
+
+
+def _told_events(spark, sf):
+    """Pages as events: title, address, day and host."""
+    title = F.regexp_extract("html", r"<title>([^<]*)", 1)
+    return t.table(spark, sf, "pages").select(
+        F.col("page_id").alias("event_id"), title.alias("name"), F.col("url").alias("description"),
+        F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 30).cast("int")), "yyyy-MM-dd").alias("date"),
+        F.replace(F.regexp_extract("url", "//([^/?#]*)", 1), F.lit("."), F.lit(", ")).alias("location"),
+    )
+
+
+@query("fuzzy_event_pairs")
+def fuzzy_event_pairs(spark, sf):
+    """Events of a score of 0.8 or more, by their classes."""
+    classes, _ = fp.event_classes(_told_events(spark, sf))
+    found = fp.fuzzy_event_pairs(classes)
+    return found.withColumns({c: r6(c) for c in ("name_score", "description_score", "score")})
+
+
+@query("fuzzy_event_members", """WITH e AS (
+  SELECT page_id AS event_id, regexp_extract(html, '<title>([^<]*)', 1) AS name, url AS description, page_id % 30 AS day FROM pages)
+SELECT event_id, min(event_id) OVER (PARTITION BY name, description, day) AS class_id FROM e""")
+def fuzzy_event_members(spark, sf):
+    return fp.event_classes(_told_events(spark, sf))[1]
