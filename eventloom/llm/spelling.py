@@ -50,7 +50,7 @@ LEAST_COUNT = 3
 
 LETTERS = 26 + 64
 SAMPLE = 100_000  # words that the upper trees are fitted to
-CELL = 4_096  # points of a cell that one task holds at a time
+CELL = 16_384  # points of a cell that one task holds at a time
 LEAF = 12  # points of a leaf
 PAIRS = 100_000  # pairs of a query and a point that are compared at a time
 _LETTER = np.zeros(256, np.int64)

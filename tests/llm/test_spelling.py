@@ -79,7 +79,7 @@ def made_words(seed, count, letters="abcdeéßÀ×", longest=9):
     return n
 
 
-@pytest.fixture(params=[4_096, 40])
+@pytest.fixture(params=[16_384, 40])
 def cell(request, monkeypatch):
     """Cells as in production, and cells so small that upper trees, blocks and slices all occur."""
     monkeypatch.setattr(spelling, "CELL", request.param)
