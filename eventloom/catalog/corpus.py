@@ -572,17 +572,29 @@ def lineage_tree(spark, sf):
 
 @query("version_chain", """SELECT conv_id AS package, printf('v%03d', turn + 1) AS version, turn = 0 OR turn % 5 <> 4 AS ok FROM conversations""")
 def version_chain(spark, sf):
+    return ln.audit_versions(_versions(spark, sf))
+
+
+@query("version_ancestry", """WITH RECURSIVE v AS (SELECT conv_id, turn, turn = 0 OR turn % 5 <> 4 AS ok FROM conversations),
+c AS (SELECT conv_id, turn, ok AS valid FROM v WHERE turn = 0
+  UNION ALL
+  SELECT v.conv_id, v.turn, c.valid AND v.ok FROM c JOIN v ON v.conv_id = c.conv_id AND v.turn = c.turn + 1)
+SELECT conv_id AS package, printf('v%03d', turn + 1) AS version, valid FROM c""")
+def version_ancestry(spark, sf):
+    return ln.valid_versions(_versions(spark, sf))
+
+
+def _versions(spark, sf):
     turns = t.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("package"), "turn", F.sha2("text", 256).alias("hash")
     )
     before = turns.select("package", (F.col("turn") + 1).alias("turn"), F.col("hash").alias("before"))
-    versions = turns.join(before, ["package", "turn"], "left").select(
+    return turns.join(before, ["package", "turn"], "left").select(
         "package", F.format_string("v%03d", F.col("turn") + 1).alias("version"), "hash",
         F.format_string("v%03d", "turn").alias("previous_version"),
         F.when(F.col("turn") % 5 == 4, "broken").otherwise(F.col("before")).alias("previous_hash"),
         (F.col("turn") == 0).alias("genesis"),
     )
-    return ln.audit_versions(versions)
 
 
 @query("next_version", """SELECT printf('v%03d', max(CASE WHEN event_type <> 'error' THEN user_id END) + 1) AS version FROM (

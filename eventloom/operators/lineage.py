@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, hmac_sha256, hmac_sha256_private
 from ..functions.text import blank
+from ..session import cut
 
 
 def _message(hash_: Column, metadata: Column, signed_at: Column) -> Column:
@@ -140,6 +141,33 @@ def audit_versions(versions: DataFrame) -> DataFrame:
     )
 
 
+def valid_versions(versions: DataFrame) -> DataFrame:
+    """(package, version, valid): whether a version and all before it, back to the genesis, pass the audit.
+
+    ``versions`` is as for :func:`audit_versions`. Each version points at the one that it names; in a
+    round every pointer jumps to where its target points, taking the target's verdict along, so a
+    chain of n versions takes log2(n) rounds, each a written table. One broken version makes all
+    later ones invalid; so does a missing one, and versions that name each other in a ring. Of
+    repeated rows of one version all must pass.
+    """
+    key = ["package", "version"]
+    audited = audit_versions(versions).groupBy(*key).agg(F.min("ok").alias("valid"))
+    named = versions.groupBy(*key).agg(
+        F.max("previous_version").alias("up"), F.min(F.coalesce("genesis", F.lit(False))).alias("genesis")
+    )
+    # who is invalid, or is the genesis, has arrived
+    on_the_way = F.when(F.col("valid") & ~F.col("genesis"), F.col("up"))
+    at = cut(audited.join(named, key).select(*key, "valid", on_the_way.alias("up")))
+    for _ in range(at.count().bit_length() + 1):
+        if at.where("up is not null").isEmpty():
+            break
+        over = at.select(F.col("package").alias("p"), F.col("version").alias("v"), F.col("valid").alias("good"), F.col("up").alias("farther"))
+        met = at.join(over, (at["package"] == over["p"]) & (at["up"] == over["v"]), "left")
+        valid = F.col("valid") & (F.col("up").isNull() | F.coalesce("good", F.lit(False)))
+        at = cut(met.select(*key, valid.alias("valid"), F.when(valid, F.col("farther")).alias("up")))
+    return at.select(*key, (F.col("valid") & F.col("up").isNull()).alias("valid"))
+
+
 def next_package_version(history: DataFrame) -> DataFrame:
     """``vNNN`` after the latest successful export; v001 where there is none."""
     current = current_version(history).select(
