@@ -402,3 +402,37 @@ def fuzzy_event_pairs(spark, sf):
 SELECT event_id, min(event_id) OVER (PARTITION BY name, description, day) AS class_id FROM e""")
 def fuzzy_event_members(spark, sf):
     return fp.event_classes(_told_events(spark, sf))[1]
+
+
+# ---- point lookups -----------------------------------------------------------------------
+
+
+def _event_store(spark, sf):
+    """Users as events, their log rows as observations with JSON text."""
+    log = t.table(spark, sf, "events")
+    event_id = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("event_id")
+    events = log.groupBy(event_id).agg(F.max_by("props", "event_id").alias("core_attributes"), F.max("ts").alias("last_updated"))
+    return events, log.select(
+        event_id, F.col("event_id").alias("observation_id"), F.col("ts").alias("observed_at"), F.col("props").alias("extracted_data")
+    )
+
+
+@query("event_detail", """SELECT 'u8' AS event_id, event_id AS observation_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS observed_at,
+       json_extract_string(props, '$.k') AS k FROM events WHERE user_id = 8""")
+def event_detail(spark, sf):
+    """One event with all its observations, newest first."""
+    found = ev.event_detail(*_event_store(spark, sf), "u8")
+    return found.select(
+        "event_id", "observation_id", F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss").alias("observed_at"),
+        F.try_element_at("extracted_data", F.lit("k")).alias("k"),
+    )
+
+
+@query("event_by_id", """SELECT 'u8' AS event_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_updated,
+       json_extract_string(arg_max(props, event_id), '$.k') AS k FROM events WHERE user_id = 8""")
+def event_by_id(spark, sf):
+    found = ev.event_by_id(_event_store(spark, sf)[0], "u8")
+    return found.select(
+        "event_id", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"),
+        F.try_element_at("core_attributes", F.lit("k")).alias("k"),
+    )

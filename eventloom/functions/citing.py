@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lists import bind
+
 CONTEXT_CHARS = 50
 
 
@@ -85,20 +87,23 @@ def all_occurrences(text: Column, source: Column, most: int | None = None) -> Co
     A search starts behind the last find and stops at the first failure. Every occurrence starts
     inside one of those that do not overlap, so the characters of the latter bound the steps.
     """
-    needle, hay = F.lower(text), F.lower(source)
-
-    def step(state: Column, _i: Column) -> Column:
-        found = state["found"]
-        last = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(-1))
-        at = F.when(~state["done"], F.call_function("locate", needle, hay, last + 2)).otherwise(0)
-        return F.struct(
-            F.when(at > 0, F.array_append(found, at - 1)).otherwise(found).alias("found"), (at == 0).alias("done")
-        )
-
     empty = F.array().cast("array<int>")
-    start = F.struct(empty.alias("found"), F.lit(False).alias("done"))
-    steps = F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))
-    if most is not None:
-        steps = F.least(steps, F.lit(most))
-    offsets = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda state: state["found"])
-    return F.when((text != "") & (steps > 0), offsets).otherwise(empty)
+
+    def offsets(needle: Column, hay: Column) -> Column:
+        def step(state: Column, _i: Column) -> Column:
+            found = state["found"]
+            last = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(-1))
+            at = F.when(~state["done"], F.call_function("locate", needle, hay, last + 2)).otherwise(0)
+            return F.struct(
+                F.when(at > 0, F.array_append(found, at - 1)).otherwise(found).alias("found"), (at == 0).alias("done")
+            )
+
+        start = F.struct(empty.alias("found"), F.lit(False).alias("done"))
+        steps = F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))
+        if most is not None:
+            steps = F.least(steps, F.lit(most))
+        found = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda state: state["found"])
+        return F.when((needle != "") & (steps > 0), found).otherwise(empty)
+
+    # both are lowered once, not at every step
+    return bind(F.lower(text), lambda needle: bind(F.lower(source), lambda hay: offsets(needle, hay)))

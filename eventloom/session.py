@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,16 @@ def local_session(cores: str = "*", app: str = "eventloom", **conf: str) -> Spar
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, one below the
-    warehouse folder, which driver and executors share as well."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where it is unset, a session on one machine
+    uses a folder below its warehouse folder; on a cluster that folder may be the driver's own, so
+    the setting is asked for."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir()
         if current is not None:
             return current
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
