@@ -11,7 +11,7 @@ Learning: models read all labelled documents whose fold is in ``READ``, calibrat
 about ``SAMPLE`` documents of fold ``CALIBRATE`` (chosen by a hash of the id); fold 0 is never read.
 
 Scale: one pass over the labelled texts and one scan for scoring, no shuffle of texts while the labels
-fit a broadcast. Models hold every distinct n-gram.
+fit a broadcast. Models hold every distinct n-gram and lie in the shared folder.
 
 Defined results: null and empty texts have no evidence and get the score that evidence zero gets.
 Without labels of both classes all scores are the share of toxic labels (0 without any). Rows with
@@ -84,15 +84,14 @@ class Scorer:
     """``score`` is a column function; models are fitted when the object is made."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str = "toxic"):
-        spark = docs.sparkSession
         known = labelled(docs, labels, label, fold(docs["doc_id"], 5)).filter(F.col("fold") != 0)
         model = kneser_ney.fit(
             known.filter(F.col("fold").isin(*READ)).select("text", F.col("y").alias("cls")), 2, ORDER, BITS, SHARED
         )
-        key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(model)
+        key = uuid.uuid4().hex
 
         def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            memo = _memo(key, sent.value)
+            memo = _memo(key, model)
             for batch in batches:
                 found = [features(memo, some) for some in slices(batch["text"])]
                 yield pd.DataFrame({"y": batch["y"].to_numpy(), "x": list(np.concatenate(found)) if found else []})
@@ -110,7 +109,7 @@ class Scorer:
 
         @pandas_udf(DoubleType())
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            memo = _memo(key, sent.value)
+            memo = _memo(key, model)
             for batch in batches:
                 parts = [features(memo, some) / scale @ weights[:-1] + weights[-1] for some in slices(batch)]
                 yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *parts]), -30, 30))))

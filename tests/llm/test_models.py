@@ -46,50 +46,88 @@ def test_language_without_examples(spoken):
         assert kept.count() == 0 and kept.columns == spoken.columns
 
 
-def plain_kneser_ney(words, order):
-    """Textbook recursion over dictionaries: probability of a character after a context."""
-    grams = {n: {} for n in range(1, order + 1)}
-    for w in words:
-        m = f"<{w}>"
-        for n in grams:
-            for i in range(max(n - 1, 1), len(m)):
-                g = m[i - n + 1 : i + 1]
-                grams[n][g] = grams[n].get(g, 0) + 1
-    used = {order: grams[order]}
-    for n in range(1, order):
-        left = {}
-        for g in grams[n + 1]:
-            left[g[1:]] = left.get(g[1:], 0) + 1
-        used[n] = {g: left.get(g) or 1 for g in grams[n]}
-    size = len(grams[1]) + 1
-
-    def p(context, c):
+def plain_kneser_ney(classes, order, shared):
+    """Textbook recursion over dictionaries, for the words of each class: log-probability of a word under a class."""
+    counts = [{n: {} for n in range(1, order + 1)} for _ in classes]
+    for words, grams in zip(classes, counts):
+        for w in words:
+            m = f"<{w}>"
+            for n in grams:
+                for i in range(max(n - 1, 1), len(m)):
+                    g = m[i - n + 1 : i + 1]
+                    grams[n][g] = grams[n].get(g, 0) + 1
+    used = []
+    for grams in counts:
+        of = {order: dict(grams[order])}
+        for n in range(1, order):
+            left = {}
+            for g in grams[n + 1]:
+                left[g[1:]] = left.get(g[1:], 0) + 1
+            of[n] = {g: left.get(g) or 1 for g in grams[n]}
+        used.append(of)
+    for n in range(1, shared + 1):
+        pooled = {}
+        for of in used:
+            for g, k in of[n].items():
+                pooled[g] = pooled.get(g, 0) + k
+        for of in used:
+            of[n] = pooled
+    alphabet = {g for grams in counts for g in grams[1]}
+    size = len(alphabet) + 1
+
+    def p(of, context, c):
         n = len(context) + 1
         if n == 1:
-            return (used[1][c] + 1) / (sum(used[1].values()) + size) if c in used[1] else 1 / (size * 4)
-        of = {g: k for g, k in used[n].items() if g[:-1] == context}
-        lower = p(context[1:], c)
-        if not of:
+            return (of[1].get(c, 0) + 1) / (sum(of[1].values()) + size) if c in alphabet else 1 / (size * 4)
+        after = {g: k for g, k in of[n].items() if g[:-1] == context}
+        lower = p(of, context[1:], c)
+        if not after:
             return lower
-        total = sum(of.values())
-        return max(of.get(context + c, 0) - kneser_ney.DISCOUNT, 0) / total + kneser_ney.DISCOUNT * len(of) / total * lower
-
-    return lambda w: sum(math.log(p(f"<{w}>"[max(0, i - order + 1) : i], f"<{w}>"[i])) for i in range(1, len(w) + 2))
-
-
-def test_kneser_ney_equals_the_recursion(spark):
-    words = "banana bandana nab ban abba nana".split()
-    frame = spark.createDataFrame([(" ".join(words[:4]), 0), (" ".join(words[4:]), 0), ("zzz", 1)], "text string, cls int")
-    model = kneser_ney.fit(frame, 2, 3, 16)
-    plain = plain_kneser_ney(words, 3)
-    tried = ["banana", "nabba", "b", "abandon"]
-    got = model.score(tried)
-    # unknown characters cost a floor under both; known ones follow the recursion
-    for w, row in zip(tried[:3], got):
-        assert row[0] == pytest.approx(plain(w), abs=0.35)
+        total, seen = sum(after.values()), after.get(context + c, 0)
+        return max(seen - kneser_ney.DISCOUNT, 0) / total + kneser_ney.DISCOUNT * len(after) / total * lower
+
+    def of_word(c, w):
+        m = f"<{w}>"
+        return sum(math.log(p(used[c], m[max(0, i - order + 1) : i], m[i])) for i in range(1, len(m)))
+
+    return of_word
+
+
+CORPUS = [("banana bandana nab ban abba", 0), ("nana na <b b>n <<", 0), ("zzz nanz bazn \U0001d4b7an", 1), ("", 1), (None, 0), ("banana", 1)]
+TRIED = ["banana", "nabba", "b", "abandon", "zzzzz", "qqq", "b<n", "ba\u00e9n", "\U0001d4b7", "<", ">"]
+
+
+@pytest.mark.parametrize("order, shared", [(1, 0), (3, 0), (4, 2), (5, 2), (3, 3)])
+def test_kneser_ney_equals_the_recursion(spark, order, shared):
+    frame = spark.createDataFrame(CORPUS, "text string, cls int").repartition(3)
+    model = kneser_ney.fit(frame, 2, order, 64, shared)
+    plain = plain_kneser_ney([[w for t, k in CORPUS if k == c for w in (t or "").split()] for c in (0, 1)], order, shared)
+    for w, row in zip(TRIED, model.score(TRIED)):
+        assert [row[0], row[1]] == pytest.approx([plain(0, w), plain(1, w)], abs=1e-9)
         assert row[2] == len(w) + 1
 
 
+def test_models_of_many_files_that_cannot_be_mapped(spark, monkeypatch):
+    frame = spark.createDataFrame(CORPUS, "text string, cls int")
+    one = kneser_ney.fit(frame, 2, 4, 64, 2)
+    monkeypatch.setattr(kneser_ney, "FILES_HELD", 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = kneser_ney.fit(frame.repartition(4), 2, 4, 64, 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    many.mapped = False
+    assert sum(map(len, many.files.values())) > sum(map(len, one.files.values()))
+    assert np.allclose(one.score(TRIED * 3), many.score(TRIED * 3), atol=1e-12)
+    assert len(many._open) <= 2
+
+
+def test_models_without_texts(spark):
+    empty = kneser_ney.fit(spark.createDataFrame([], "text string, cls int"), 2, 3, 64)
+    row = empty.score(["ab"])[0]
+    assert row[0] == row[1] < 0 and row[2] == 3
+
+
 def test_memo_is_bounded_and_exact():
     memo = Memo(lambda words: np.array([[len(w)] for w in words]), most=3)
     for words in (["a", "bb", "a"], ["ccc", "dddd", "a"], ["eeeee", "bb"]):
