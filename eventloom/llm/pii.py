@@ -2,13 +2,19 @@
 
 Base spans (email, ip, card, phone) are leftmost, non-overlapping matches of the fixed patterns that
 pass their test. Generators of high recall propose further spans: any run of digits and separators
-with seven digits or more (``number``), anything around an @ or a spelled-out one (``address``), and
-four or more dotted or coloned groups (``groups``); their spans may overlap. A candidate that holds a
-base span is a positive example, any other a negative one. Features are its format and its context,
-never the tests. Boosted depth-two trees are fitted to the counts of all candidates by feature cell,
-and thresholds are calibrated for each generator on the half of the candidates that took no part in
-fitting: the lowest score from which at least ``PRECISION`` are positive. Negatives at or above it
-look like personal data and are added, the higher score first where two overlap.
+with seven digits or more (``number``), anything around an @ or a spelled-out one (``address``), four or
+more dotted or coloned groups (``groups``), and runs of 16 or more letters, digits and joining marks that
+mix letters and digits (``secret``); their spans may overlap.
+
+Examples are positive and unlabelled. Positive is a candidate that holds a base span, one that reads as
+a base kind once its writing is undone (spelled-out @ and dots, bracketed dots, digits grouped by other
+marks, 00 or a bracketed area code for +), and a secret that its text assigns to a credential. Features
+are its format and its context, never the tests; the words that make a secret positive are hidden from
+its features, so that the same format counts elsewhere too. Boosted depth-two trees are fitted to the
+counts of all candidates by feature cell, and thresholds are calibrated for each generator on the half of
+the candidates that took no part in fitting: the lowest score from which at least ``PRECISION`` are
+positive. Candidates at or above it that hold no base span are added, the higher score first where two
+overlap; none overlaps a base span.
 
 How it runs: positions come from splitting a text at the matches and adding up lengths, inside the
 row. One scan writes spans and candidate features (no texts); fitting reads counts by cell, of which
@@ -44,11 +50,19 @@ PATTERNS = {
 }
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
 
+WORD, LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++", r"[A-Za-z0-9-]++"
+AT, DOT = (rf"\x20?+[\[({{<]\x20?(?i:{w})\x20?[\])}}>]\x20?+" for w in ("at", "dot"))  # in brackets
+BARE_AT, BARE_DOT = (rf"\x20(?i:{w})\x20" for w in ("at", "dot"))
 GENERATORS = {
-    "number": r"(?:[+(]\x20?)?[0-9](?:[\x20().+-]*+[0-9]){6,}+",
-    "address": r"(?:(?<![^\s@])|\G)[^\s@]*+@\S*+|[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9.-]++",
-    "groups": r"[0-9A-Fa-f]{1,4}+(?:[.:][0-9A-Fa-f]{1,4}+){3,}+",
+    "number": r"(?:[+(]\x20?)?[0-9](?:[\x20().+/-]*+[0-9]){6,}+",
+    "address": rf"(?:(?<![^\s@])|\G)[^\s@]*+@\S*+|{WORD}{AT}{LABEL}(?:(?:\.|{DOT}|{BARE_DOT}){LABEL})*+|{WORD}{BARE_AT}{LABEL}(?:(?:{DOT}|{BARE_DOT}){LABEL})++",
+    "groups": r"[0-9A-Fa-f]{1,4}+(?:\[?[.:]\]?[0-9A-Fa-f]{1,4}+){3,}+",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
 }
+SECRET = list(GENERATORS).index("secret")
+# what a credential is assigned with, at the end of the text before it
+ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|key|bearer|credentials?|auth)[A-Za-z_]{0,8}[\"']?(?:\s{0,3}(?:[:=]|=>|:=)\s{0,3}|\s)[\"']?$"
+GROUPED = r"^[0-9]{4}(?:[^0-9]{1,2}[0-9]{2,7})+$"  # digits of a card in groups
 CONTEXTS = {  # words before a candidate
     1: r"(?i)(?:mail|contact|write|e-mail)\W*$",
     2: r"(?i)(?:tel|phone|call|fax|mobile|cell|whatsapp)\W*$",
@@ -57,7 +71,7 @@ CONTEXTS = {  # words before a candidate
     5: r"(?i)(?:version|license|isbn|id|no|nr|page|section|key|token|password)\W*$",
 }
 #: feature -> number of its values; their product bounds the cells.
-FEATURES = {"generator": 3, "digits": 9, "letters": 3, "parts": 6, "marks": 8, "first": 4, "context": 6, "edges": 2}
+FEATURES = {"generator": 4, "digits": 9, "letters": 3, "parts": 6, "marks": 8, "first": 4, "context": 6, "edges": 2, "switches": 3}
 CELLS = math.prod(FEATURES.values())
 
 PRECISION = 0.95
@@ -103,14 +117,27 @@ def _passes(kind: str, value: Column) -> Column:
     return F.length(F.regexp_replace(value, "[^0-9]", "")).between(10, 15)
 
 
-def _holds(generator: Column, value: Column) -> Column:
+def _any_of(kind: str, value: Column) -> Column:
+    return F.exists(F.regexp_extract_all(value, F.lit(PATTERNS[kind]), F.lit(0)), lambda v: _passes(kind, v))
+
+
+def _holds(value: Column) -> Column:
     """Whether a candidate holds a base span."""
+    mail, ip, card, phone = (_any_of(k, value) for k in KINDS)
+    return mail | ip | card | phone
 
-    def any_of(kind: str) -> Column:
-        return F.exists(F.regexp_extract_all(value, F.lit(PATTERNS[kind]), F.lit(0)), lambda v: _passes(kind, v))
 
-    mail, ip, card, phone = map(any_of, KINDS)
-    return F.when(generator == 1, mail).otherwise(ip | card | phone)
+def _reads(generator: int, value: Column, before: Column) -> Column:
+    """Whether a candidate without a base span reads as personal data once its writing is undone."""
+    name = list(GENERATORS)[generator]
+    if name == "address":
+        return _any_of("email", F.regexp_replace(F.regexp_replace(value, f"{AT}|{BARE_AT}", "@"), f"{DOT}|{BARE_DOT}", "."))
+    if name == "groups":
+        return _any_of("ip", F.regexp_replace(value, r"[\[\]]", ""))
+    if name == "secret":
+        return before.rlike(ASSIGNED)
+    written = F.regexp_replace(F.regexp_replace(value, r"^00(?=[1-9])", "+"), r"^\((?=[0-9]{3}\)[^0-9]*[0-9]{3}[^0-9]*[0-9]{4}$)", "+1 (")
+    return _any_of("phone", written) | (value.rlike(GROUPED) & _luhn(value))
 
 
 def _count(value: Column, characters: str) -> Column:
@@ -123,9 +150,11 @@ def _features(generator: int, value: Column, before: Column, after: Column) -> C
     for i, low in enumerate((1, 7, 9, 10, 12, 14, 17, 20), 1):
         bin_ = F.when(digits >= low, i).otherwise(bin_)
     context = F.lit(0)
-    for code, words in reversed(CONTEXTS.items()):
-        context = F.when(before.rlike(words), code).otherwise(context)
+    words = F.when(before.rlike(ASSIGNED), "").otherwise(before) if generator == SECRET else before
+    for code, cue in reversed(CONTEXTS.items()):
+        context = F.when(words.rlike(cue), code).otherwise(context)
     marks = sum((F.when(value.rlike(c), b).otherwise(0) for b, c in ((1, r"\."), (2, "-"), (4, "[()]"))), F.lit(0))
+    switches = _count(value, "(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")  # changes between digits and letters
     first = F.when(value.startswith("+"), 3).when(value.startswith("("), 2).when(value.rlike("^[0-9]"), 1).otherwise(0)
     return F.struct(
         F.lit(generator).alias("generator"),
@@ -136,16 +165,17 @@ def _features(generator: int, value: Column, before: Column, after: Column) -> C
         first.alias("first"),
         context.alias("context"),
         F.when(before.rlike(r"[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]"), 1).otherwise(0).alias("edges"),
+        F.when(switches >= 4, 2).when(switches >= 2, 1).otherwise(0).alias("switches"),
     )
 
 
 def _matches(text: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Adds g_<name> (texts between matches) and m_<name> (matches) for each pattern."""
     t = F.col("body")
-    seen = {"number": t.rlike("[0-9]"), "at": t.contains("@"), "spelled": t.rlike(r"at[\])]"), "plus": t.contains("+"), "colon": t.contains(":")}
+    seen = {"number": t.rlike("[0-9]"), "at": t.contains("@"), "spelled": t.rlike(rf"{AT}|{BARE_DOT}"), "plus": t.contains("+"), "colon": t.contains(":")}
     text = text.select("row", "body", *[c.alias(n) for n, c in seen.items()])
     number, at, spelled, plus, colon = map(F.col, seen)
-    gate = {"email": at, "address": at | spelled, "phone": plus, "ip": number, "card": number, "number": number, "groups": number | colon}
+    gate = {"email": at, "address": at | spelled, "phone": plus, "ip": number, "card": number, "number": number, "groups": number | colon, "secret": number}
     columns = []
     for name, pattern in patterns.items():
         body = F.when(gate[name], t)
@@ -161,7 +191,7 @@ def _starts(name: str) -> Column:
 
 
 SPAN = "array<struct<start:int,kind_no:int,end:int>>"
-CANDIDATE = "array<struct<start:int,end:int,label:boolean,half:int,f:struct<" + ",".join(f"{f}:int" for f in FEATURES) + ">>>"
+CANDIDATE = "array<struct<start:int,end:int,label:boolean,held:boolean,half:int,f:struct<" + ",".join(f"{f}:int" for f in FEATURES) + ">>>"
 
 
 def scan(docs: DataFrame, row: Column, text: Column) -> DataFrame:
@@ -191,7 +221,8 @@ def scan(docs: DataFrame, row: Column, text: Column) -> DataFrame:
             lambda v, i: F.struct(
                 start(n, i).alias("start"),
                 (start(n, i) + F.length(v)).alias("end"),
-                _holds(F.lit(code), v).alias("label"),
+                (_holds(v) | _reads(code, v, F.right(F.get(gaps, i), F.lit(24)))).alias("label"),
+                _holds(v).alias("held"),
                 (F.crc32(v.cast("binary")) % 2).cast("int").alias("half"),  # equal candidates are in one half
                 _features(code, v, F.right(F.get(gaps, i), F.lit(24)), F.left(F.get(gaps, i + 1), F.lit(4))).alias("f"),
             ),
@@ -276,20 +307,34 @@ def fit(scanned: DataFrame) -> Model:
 
 
 def select(scanned: DataFrame, model: Model) -> DataFrame:
-    """row, base and added: negatives at or above their generator's threshold, the best of overlapping ones."""
+    """row, base and added: candidates at or above their generator's threshold and apart from base spans,
+    the best of overlapping ones. Spans of one generator never overlap, so only the others are compared."""
     scored = F.transform(
-        F.filter("candidates", lambda c: ~c["label"]),
+        F.filter("candidates", lambda c: ~c["held"]),
         lambda c: F.struct(model.score(c["f"]).alias("score"), c["start"].alias("start"), c["end"].alias("end"), c["f"]["generator"].alias("g")),
     )
     limits = F.array(*[F.lit(float(t)) for t in model.thresholds])
     accepted = F.filter(scored, lambda c: c["score"] >= F.get(limits, c["g"]))
     better = lambda o, c: (o["score"] > c["score"]) | ((o["score"] == c["score"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["g"] < c["g"]))))
     overlap = lambda o, c: (o["start"] < c["end"]) & (c["start"] < o["end"])
-    with_accepted = scanned.select("row", "base", accepted.alias("accepted"))
-    alone = F.filter("accepted", lambda c: ~F.exists("accepted", lambda o: overlap(o, c) & better(o, c)))
-    clear = F.filter(alone, lambda c: ~F.exists("base", lambda o: overlap(o, c)))
-    named = F.transform(clear, lambda c: F.struct(c["start"], F.lit(len(KINDS)) + c["g"], c["end"])).cast(SPAN)
-    return with_accepted.select("row", "base", F.when(F.size("accepted") > 0, named).otherwise(F.array().cast(SPAN)).alias("added"))
+    clear = F.filter("accepted", lambda c: ~F.exists("base", lambda o: overlap(o, c)))
+    with_clear = scanned.select("row", "base", accepted.alias("accepted")).select(
+        "row", "base", F.when(F.size("accepted") > 0, clear).otherwise(F.col("accepted")).alias("clear")
+    )
+    codes = range(len(GENERATORS))
+
+    def of(k: int) -> Column:
+        return F.filter("clear", lambda c: c["g"] == k).alias(f"of_{k}")
+
+    by_code = with_clear.select("row", "base", *map(of, codes))
+
+    def alone(k: int) -> Column:
+        others = F.concat(*[F.col(f"of_{j}") for j in codes if j != k])
+        return F.filter(f"of_{k}", lambda c: ~F.exists(others, lambda o: overlap(o, c) & better(o, c)))
+
+    kept = F.concat(*[alone(k) for k in codes])
+    named = F.transform(kept, lambda c: F.struct(c["start"], F.lit(len(KINDS)) + c["g"], c["end"])).cast(SPAN)
+    return by_code.select("row", "base", named.alias("added"))
 
 
 def _name(kind_no: Column) -> Column:
