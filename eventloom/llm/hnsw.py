@@ -2,10 +2,11 @@
 
 Vectors are dealt into shards; each shard gets a graph (Malkov and Yashunin, 2018), and every vector
 queries every shard. A query whose beam is full of near-duplicates goes on through the graph from all
-of them until no neighbour is close enough. Each task audits itself: queries are drawn and compared with
-all vectors of the shard until ``AUDITED`` of them have true partners (others than themselves) or none is
-left, and the beam is doubled until the mean of these queries' recalls reaches ``RECALL``. Where no beam
-below one ``WIDEST``-th of the shard does, all queries are compared with all vectors instead.
+of them until no neighbour is close enough. Each shard is audited once, when its graph is built, with
+vectors of its own as queries (vectors are dealt by hash, so others are like them): ``DRAWN`` drawn at
+random, and up to ``AUDITED`` for which a beam of ``WIDE`` finds partners, are compared with the whole shard,
+and the beam is doubled until the mean recall of those with true partners (others than themselves) reaches
+``RECALL``. Where no beam below one ``WIDEST``-th of the shard does, queries are compared with all its vectors.
 Every candidate is verified by its cosine in double precision. Links are united to components.
 
 Scale: exact copies are one vector before indexing, so a group of copies is one query and one node.
@@ -39,6 +40,8 @@ SHARDS, SHARD, BLOCK = 4, 50_000, 8_192
 NEAR, BUILD_BEAM, BEAM = 12, 32, 32  # neighbours above the ground layer (twice as many there), beams
 AT_ONCE, EXPANDED = 256, 4  # queries that descend together, nodes that each expands in a step
 AUDITED, RECALL, WIDEST = 64, 0.99, 8
+DRAWN, TRIED, WIDE = 256, 4_096, 128  # vectors audited at random, tried for partners, and the beam they are tried with
+AUDIT = 0  # in place of a beam: find it by auditing the queries at hand
 NARROW = 1e-4  # single-precision margin below the threshold; double precision decides
 
 
@@ -113,7 +116,7 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         c = self.x[ids]
-        among = np.einsum("bcd,bed->bce", c, c)
+        among = c @ c.transpose(0, 2, 1)
         chosen = np.zeros(ids.shape, bool)
         for k in range(ids.shape[1]):
             apart = ~((among[:, k] > sims[:, k, None]) & chosen).any(axis=1)
@@ -192,6 +195,7 @@ class Graph:
 
 def unit(x: np.ndarray, kind=np.float64) -> np.ndarray:
     x = x.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # exact, and no square over- or underflows
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(kind)
 
 
@@ -225,11 +229,29 @@ def audited(graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarra
     return None
 
 
-def search(graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
+def audited_shard(graph: Graph, exact: np.ndarray) -> int | None:
+    """Beam of a shard, from an audit whose cost is linear in it."""
+    order = np.random.default_rng(len(exact)).permutation(len(exact))
+    tried, paired = order[:TRIED], []
+    for at in range(0, len(tried), AT_ONCE):
+        some = tried[at : at + AT_ONCE]
+        found = graph.within(exact[some].astype(np.float32), THRESHOLD - NARROW, min(WIDE, len(exact)))
+        paired += [i for i, h in zip(some, found) if (exact[others(h, i)] @ exact[i] >= THRESHOLD).any()]
+        if len(paired) >= AUDITED:
+            break
+    chosen = np.unique(np.r_[order[:DRAWN], np.array(paired[:AUDITED], order.dtype)])
+    return audited(graph, exact, exact[chosen], chosen)
+
+
+def search(
+    graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray | None = None, beam: int | None = AUDIT
+) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Verified hits of unit vectors (double precision), some queries at a time; the beam is wide
-    enough for the audited recall. ``own`` is each query's node, which is no hit of it, or -1."""
+    enough for the audited recall; None compares with all. ``own`` is each query's node, which is no hit of it, or -1."""
     own = np.full(len(queries), -1) if own is None else own
-    beam, single = audited(graph, exact, queries, own), queries.astype(np.float32)
+    single = queries.astype(np.float32)
+    if beam == AUDIT:
+        beam = audited(graph, exact, queries, own)
     step = AT_ONCE if beam else AUDITED
     for at in range(0, len(queries), step):
         q, o = queries[at : at + step], own[at : at + step]
@@ -241,10 +263,12 @@ def search(graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray
 
 
 def _index(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard's graph, packed."""
+    """One shard's graph and beam (-1: compare with all), packed."""
     x = np.stack(rows["embedding"].to_numpy())
-    graph, packed = Graph(unit(x, np.float32)), io.BytesIO()
-    np.savez(packed, x=x, entry=graph.entry, vec=rows["vec"].to_numpy().astype(bytes), rep=rows["rep"].to_numpy(), copies=rows["copies"].to_numpy(), *graph.near)
+    exact = unit(x)
+    graph, packed = Graph(exact.astype(np.float32)), io.BytesIO()
+    beam = audited_shard(graph, exact) or -1
+    np.savez(packed, x=x, beam=beam, entry=graph.entry, vec=rows["vec"].to_numpy().astype(bytes), rep=rows["rep"].to_numpy(), copies=rows["copies"].to_numpy(), *graph.near)
     return pd.DataFrame({"shard": [key[0]], "packed": [packed.getvalue()]})
 
 
@@ -253,7 +277,7 @@ def _answer(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFr
     if not len(queries) or not len(index):
         return pd.DataFrame({"vec": [], "links": [], "a": [], "b": []}, dtype=object)
     with np.load(io.BytesIO(index["packed"].iloc[0])) as z:
-        x, vec, rep, copies, entry = z["x"], z["vec"], z["rep"], z["copies"], int(z["entry"])
+        x, vec, rep, copies, entry, beam = z["x"], z["vec"], z["rep"], z["copies"], int(z["entry"]), int(z["beam"])
         near = [z[f"arr_{i}"] for i in range(sum(name.startswith("arr_") for name in z.files))]
     exact, asked = unit(x), unit(np.stack(queries["embedding"].to_numpy()))
     graph, own = Graph(exact.astype(np.float32), near, entry), queries["rep"].to_numpy()
@@ -261,7 +285,7 @@ def _answer(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFr
     itself = np.array([node_of.get(v.encode(), -1) for v in queries["vec"]])
     nodes, place = np.unique(np.concatenate([own, rep]), return_inverse=True)
     label, links = np.arange(len(nodes)), np.zeros(len(own), np.int64)
-    for at, found in search(graph, exact, asked, itself):
+    for at, found in search(graph, exact, asked, itself, None if beam < 0 else beam):
         a = np.repeat(place[at : at + len(found)], [len(h) for h in found])
         h = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
         links[at : at + len(found)] = [copies[x_].sum() for x_ in found]
@@ -282,7 +306,9 @@ def _answer(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFr
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    v = vectors.select(vectors[vec_id].alias("vec_id"), vectors[embedding].cast("array<float>").alias("embedding"))
+    single = vectors.select(vectors[embedding]).dtypes[0][1] == "array<float>"
+    kind = "array<float>" if single else "array<double>"  # either way the cosine is one of doubles
+    v = vectors.select(vectors[vec_id].alias("vec_id"), vectors[embedding].cast(kind).alias("embedding"))
     e = F.col("embedding")
     bad = F.exists(e, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     usable = F.col("vec_id").isNotNull() & (F.size(e) > 0) & ~bad & F.exists(e, lambda c: c != 0)
