@@ -14,8 +14,10 @@ from ..operators import lineage as ln
 from ..operators import quality as ql
 from ..operators import stats as st
 from ..operators import vectors as ve
+from ..session import fresh_dir
 from ..sources import tables as t
-from .registry import ARTICLES, MENTIONS, NODES, query, r6
+from ..sources.vector_index import VectorIndex
+from .registry import ARTICLES, MENTIONS, NODES, ORACLES, query, r6
 
 KEYWORDS = ["the ", "tion", "eau", "lichk", "que", "ung"]
 _HITS = " + ".join(f"CAST(contains(txt, '{k}') AS INT)" for k in KEYWORDS)
@@ -486,6 +488,35 @@ def vector_similar_item(spark, sf):
     return _scored(ve.similar_to_item(t.vectors(spark, sf), 7, 10))
 
 
+def _vector_index(spark, sf):
+    """A stored index in two batches: the second is added without reading the first."""
+    rows = t.vectors(spark, sf)
+    index = VectorIndex.create(rows.where("item_id % 2 = 0"), fresh_dir(spark, "vector_index"))
+    index.add(rows.where("item_id % 2 <> 0"))
+    return index
+
+
+@query("vector_index_topk", ORACLES["vector_topk"])
+def vector_index_topk(spark, sf):
+    return _scored(_vector_index(spark, sf).search(QUERY_VECTOR, 10))
+
+
+@query("vector_index_typed_topk", ORACLES["vector_typed_topk"])
+def vector_index_typed_topk(spark, sf):
+    return _scored(_vector_index(spark, sf).search(QUERY_VECTOR, 10, "type_3"))
+
+
+@query("vector_index_similar_item", ORACLES["vector_similar_item"])
+def vector_index_similar_item(spark, sf):
+    return _scored(_vector_index(spark, sf).similar_to_item(7, 10))
+
+
+@query("vector_index_items", "SELECT 'type_' || label AS item_type, CAST(count(*) AS BIGINT) AS items FROM embeddings GROUP BY label")
+def vector_index_items(spark, sf):
+    """Items by type from the index's cell table, without a scan of vectors."""
+    return _vector_index(spark, sf).cells().groupBy("item_type").agg(F.sum("items").alias("items"))
+
+
 @query("vector_stats", "SELECT 'type_' || label AS item_type, CAST(count(*) AS BIGINT) AS items, CAST(64 AS BIGINT) AS dimension FROM embeddings GROUP BY label")
 def vector_stats(spark, sf):
     return ve.vector_statistics(t.vectors(spark, sf))
