@@ -9,6 +9,7 @@ from ..operators import equivalence as eq
 from ..operators import filters as fl
 from ..operators import graph as g
 from ..session import cut, fresh_dir
+from ..sources import merkle
 from ..sources import tables as t
 from ..sources.graph_store import GraphStore
 from .registry import ATTRIBUTES, EDGES, MENTIONS, NODES, RESOLVED, query, r6
@@ -481,3 +482,29 @@ def graph_store_sources(spark, sf):
         .agg(F.count(F.lit(1)).alias("further"), F.count_distinct("document_id").alias("documents"))
         .join(names, "node_id").drop("node_id")
     )
+
+
+_SNAPSHOTS = """a AS (SELECT l_orderkey AS order_key, l_linenumber AS line, l_partkey AS part, l_quantity AS quantity,
+    l_returnflag AS flag FROM lineitem WHERE l_shipdate < DATE '1998-01-01'),
+b AS (SELECT l_orderkey AS order_key, l_linenumber AS line, l_partkey AS part,
+    CASE WHEN l_suppkey = 7 THEN l_quantity + 1 ELSE l_quantity END AS quantity, l_returnflag AS flag
+  FROM lineitem WHERE l_shipdate >= DATE '1992-03-01'),
+ka AS (SELECT order_key, line, array_agg((part, quantity, flag) ORDER BY part, quantity, flag) AS v FROM a GROUP BY ALL),
+kb AS (SELECT order_key, line, array_agg((part, quantity, flag) ORDER BY part, quantity, flag) AS v FROM b GROUP BY ALL)"""
+
+
+@query("snapshot_changes", f"""WITH {_SNAPSHOTS}
+SELECT coalesce(ka.order_key, kb.order_key) AS order_key, coalesce(ka.line, kb.line) AS line,
+       CASE WHEN ka.v IS NULL THEN 'added' WHEN kb.v IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM ka FULL JOIN kb ON ka.order_key = kb.order_key AND ka.line = kb.line WHERE ka.v IS DISTINCT FROM kb.v""")
+def snapshot_changes(spark, sf):
+    """Changes between the order lines as shipped before 1998 and a later state, from two stored hash trees."""
+    lines = t.table(spark, sf, "lineitem")
+    columns = ["l_orderkey AS order_key", "l_linenumber AS line", "l_partkey AS part"]
+    old = lines.where("l_shipdate < DATE '1998-01-01'").selectExpr(*columns, "l_quantity AS quantity", "l_returnflag AS flag")
+    quantity = "CASE WHEN l_suppkey = 7 THEN l_quantity + 1 ELSE l_quantity END AS quantity"
+    new = lines.where("l_shipdate >= DATE '1992-03-01'").selectExpr(*columns, quantity, "l_returnflag AS flag")
+    left, right = fresh_dir(spark, "snapshot"), fresh_dir(spark, "snapshot")
+    merkle.write_snapshot(old, ["order_key", "line"], left)
+    merkle.write_snapshot(new, ["order_key", "line"], right)
+    return merkle.changes(spark, left, right, ["order_key", "line"])
