@@ -19,9 +19,10 @@ OVERLAP = "1 hour"
 
 
 def table_stream(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """New files of one Parquet table of a folder, with the stored schema."""
+    """New files of one Parquet table of a folder, with the stored schema. The table is a file or a folder
+    of files; as a pattern its path stands for either, while a plain path would have to be a folder."""
     schema = spark.read.parquet(f"{base}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(base)
+    return spark.readStream.schema(schema).parquet(f"{base}/{name}.parque[t]")
 
 
 def fresh_articles(articles: DataFrame, overlap: str = OVERLAP) -> DataFrame:

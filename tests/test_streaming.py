@@ -1,8 +1,10 @@
 import datetime as dt
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from eventloom.catalog import QUERIES
 from eventloom.operators import events as ev
 from eventloom.operators import ingest as ing
 from eventloom.streaming import jobs
@@ -70,3 +72,13 @@ def test_vector_sync_only_new_nodes(spark, tmp_path):
     _, out = run_twice(spark, tmp_path, ddl, first, second, lambda s, o, c: jobs.vector_stream(s, o, c, embedding))
     got = {r.item_id: r.embedding for r in spark.read.parquet(out).collect()}
     assert got == {"n1": [len("Type: a Name: x")], "n2": [len("Type: a Name: longer k: v")]}
+
+
+@pytest.mark.parametrize("name, table", [
+    ("stream_daily_history", "documents"), ("stream_fresh_articles", "pages"), ("stream_store", "documents")
+])
+def test_tables_of_several_files(spark, sf, tmp_path, name, table):
+    rows = spark.read.parquet(f"{sf}/{table}.parquet")
+    rows.repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    one, several = ([tuple(r) for r in QUERIES[name](spark, d).collect()] for d in (sf, str(tmp_path)))
+    assert several and sorted(several) == sorted(one)
