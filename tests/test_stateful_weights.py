@@ -1,6 +1,7 @@
 """Weights from keyed state over several micro-batches equal the batch weights."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,10 @@ def test_quiet_events_expire(spark, tmp_path):
 
 def test_nothing_landed(spark, tmp_path):
     assert sw.current_weights(spark, str(tmp_path)).collect() == []
+
+
+def test_kept_weights_need_no_python(spark):
+    stream = spark.readStream.schema(DDL).parquet("/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert not re.search("Pandas|Python", plan(sw.changed_weights(stream)))
+    assert "Pandas" in plan(sw.changed_weights(stream, 1000))
