@@ -22,6 +22,11 @@ def pieces(text: Column, sizes: Column) -> Column:
     )
 
 
+def _begins(text: Column) -> Column:
+    """One of 512 marks of a text's first five characters."""
+    return F.pmod(F.xxhash64(F.substring(text, 1, 5)), F.lit(512)).cast("int")
+
+
 def contained_pairs(
     needles: DataFrame, hays: DataFrame, scope: list[str], needle: str, hay: str
 ) -> DataFrame:
@@ -29,10 +34,14 @@ def contained_pairs(
 
     Each hay is taken apart into its substrings of the lengths that needles of the same scope
     have, so the join is an equality on the text itself: it has no blocking key that could run
-    hot, loses nothing, and yields matching pairs only.
+    hot, loses nothing, and yields matching pairs only. Of the substrings only those go to the join
+    that begin as a needle does; for that, beginnings are told apart by a few
+    hundred marks, which bounds the row of a scope however many needles it has.
     """
     wanted = needles.where(F.length(needle) > 0).select(*scope, needle).distinct()
-    sizes = wanted.groupBy(*scope).agg(F.collect_set(F.length(needle)).alias("_sizes"))
+    sizes = wanted.groupBy(*scope).agg(
+        F.collect_set(F.length(needle)).alias("_sizes"), F.collect_set(_begins(F.col(needle))).alias("_begins")
+    )
     parts = (
         hays.select(*scope, hay)
         .distinct()
@@ -41,7 +50,10 @@ def contained_pairs(
             *scope,
             hay,
             F.explode(
-                pieces(F.col(hay), F.filter("_sizes", lambda n: n <= F.length(hay)))
+                F.filter(
+                    pieces(F.col(hay), F.filter("_sizes", lambda n: n <= F.length(hay))),
+                    lambda p: F.array_contains("_begins", _begins(p)),
+                )
             ).alias(needle),
         )
     )
