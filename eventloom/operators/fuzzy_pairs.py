@@ -55,11 +55,14 @@ def event_classes(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, rows.join(classes, same).select("event_id", "class_id")
 
 
+def letters(name: Column) -> Column:
+    return F.regexp_extract_all(name, F.lit("(?s)(.)"), 1)
+
+
 def tokens(name: Column) -> Column:
     """The characters of a name, each with how often it occurred before."""
-    letters = F.array_sort(F.regexp_extract_all(name, F.lit("(?s)(.)"), 1))
     # bound once: a lambda evaluates what it uses anew for each element
-    numbered = bind(letters, lambda held: F.transform(
+    numbered = bind(F.array_sort(letters(name)), lambda held: F.transform(
         held, lambda c, i: F.concat(c, (i + 1 - F.array_position(held, c)).cast("string"))
     ))
     return F.when(name != "", numbered)
@@ -100,9 +103,27 @@ def _can_reach(ratio: float) -> Column:
 
 
 def _share_enough(ratio: float) -> Column:
-    """Names with as many characters in common as the ratio asks for, counted in full."""
-    a, b = tokens(F.col("lname_a")), tokens(F.col("lname_b"))
-    return 2 * F.size(F.array_intersect(a, b)) >= ratio * (F.col("length_a") + F.col("length_b")) - EASE
+    """Names with as many characters in common as the ratio asks for, counted in full.
+
+    Per distinct character the smaller of both counts, which is the number of common tokens: making the
+    tokens of both names anew for each pair took most of the time.
+    """
+    a, b = F.col("lname_a"), F.col("lname_b")
+    count = lambda name, c: F.length(name) - F.length(F.replace(name, c))
+    common = F.aggregate(
+        F.array_distinct(letters(a)), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c))
+    )
+    return 2 * common >= ratio * (F.col("length_a") + F.col("length_b")) - EASE
+
+
+def _sharing(found: DataFrame, pair: list[str], ratio: float) -> DataFrame:
+    """Distinct pairs of a token join whose names share enough characters.
+
+    The lengths follow from the names; as aggregates they keep the count behind the shuffle, spread and once
+    for each pair. Of plain distinct rows it would be moved into the join, once for each common token.
+    """
+    once = found.groupBy(*pair).agg(F.max("length_a").alias("length_a"), F.max("length_b").alias("length_b"))
+    return once.where(_share_enough(ratio))
 
 
 def near_pairs(classes: DataFrame, names: DataFrame, ratio: float) -> DataFrame:
@@ -114,8 +135,8 @@ def near_pairs(classes: DataFrame, names: DataFrame, ratio: float) -> DataFrame:
     a, b = _sides(cut(rows))
     b = b.withColumn("day_b", F.explode(F.sequence(F.col("day_b") - DAYS, F.col("day_b") + DAYS)))
     on = (F.col("part_a") == F.col("part_b")) & (F.col("day_a") == F.col("day_b")) & (F.col("class_id_a") < F.col("class_id_b"))
-    both = ["class_id_a", "class_id_b", "lname_a", "lname_b", "length_a", "length_b"]
-    pairs = a.join(b, on & _can_reach(ratio)).select(*both).distinct().where(_share_enough(ratio))
+    both = ["class_id_a", "class_id_b", "lname_a", "lname_b"]
+    pairs = _sharing(a.join(b, on & _can_reach(ratio)), both, ratio)
     return pairs.select(F.col("class_id_a").alias("id1"), F.col("class_id_b").alias("id2"))
 
 
@@ -123,7 +144,7 @@ def far_names(names: DataFrame, ratio: float) -> DataFrame:
     """Pairs of distinct names, and each name with itself, whose ratio is at least ``ratio`` either way."""
     a, b = _sides(cut(prefixes(names, ratio)))
     found = a.join(b, _can_reach(ratio) & (F.col("lname_a") < F.col("lname_b")))
-    found = found.select("lname_a", "lname_b", "length_a", "length_b").distinct().where(_share_enough(ratio))
+    found = _sharing(found, ["lname_a", "lname_b"], ratio)
     pairs = found.select(F.col("lname_a").alias("lname"), F.col("lname_b").alias("other"))
     best = F.greatest(fuzzy_ratio(F.col("lname"), F.col("other")), fuzzy_ratio(F.col("other"), F.col("lname")))
     close = cut(pairs.where(best >= ratio - EASE))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -103,3 +104,20 @@ def test_empty_and_nameless(spark):
     assert fp.fuzzy_event_pairs(fp.event_classes(spark.createDataFrame(rows, DDL))[0]).collect() == []
     with pytest.raises(ValueError, match="threshold"):
         fp.candidates(classes, 0.3)
+
+
+def test_characters_in_common_are_counted_without_tokens(spark):
+    names = ["", "a", "aab", "abb", "é𝄞𝄞 e", "e 𝄞é", "line\nline", "ne\nli", "$1.*", ".*$"]
+    pairs = [(a, b, len(a), len(b)) for a in names for b in names]
+    df = spark.createDataFrame(pairs, "lname_a string, lname_b string, length_a int, length_b int")
+    for ratio in (0.3, 2 / 3, 5 / 6, 1.0):
+        want = [(a, b) for a, b, n, m in pairs if 2 * sum((Counter(a) & Counter(b)).values()) >= ratio * (n + m) - fp.EASE]
+        held = df.where(fp._share_enough(ratio))
+        assert sorted(tuple(r)[:2] for r in held.collect()) == sorted(want)
+        assert "array_position" not in held._jdf.queryExecution().analyzed().toString()
+
+
+def test_characters_are_counted_behind_the_join(spark):
+    classes, _ = fp.event_classes(spark.createDataFrame(events(40), DDL))
+    plan = fp.near_pairs(classes, fp.ordered_names(classes), 2 / 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("aggregate(") < plan.index("Aggregate [") < plan.index("Join Inner")
