@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from ..functions.hashing import multiset_digest, row_digest
 from ..functions.maps import merge_maps, overlay
 from ..functions.text import strip
 from ..session import cut
-from .matching import containment_pairs, first_fit
+from .matching import containment_pairs, first_fit, with_ends
 
 LOOK_AHEAD = 4
 EDGE_FIELDS = ("timestamp", "evidence_quote", "document_id", "attributes")
@@ -82,10 +84,13 @@ def exact_entities(nodes: DataFrame) -> DataFrame:
     )
 
 
-def named_nodes(nodes: DataFrame) -> DataFrame:
-    """Payload nodes with the graph node of their own name: a function of type and name, no join."""
+def named_nodes(nodes: DataFrame, id_of: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Payload nodes with the graph node of their own name: a function of type and name, no join.
+
+    ``id_of`` gives another id than the hash; with :func:`plain_id` the names can be read from it.
+    """
     norm = normalized_name(F.col("name"))
-    return nodes.where(norm != "").withColumn("node_id", graph_node_id(F.col("node_type"), norm))
+    return nodes.where(norm != "").withColumn("node_id", (id_of or graph_node_id)(F.col("node_type"), norm))
 
 
 def place_nodes(nodes: DataFrame, entities: DataFrame) -> DataFrame:
@@ -126,6 +131,11 @@ def graph_node_id(node_type: Column, norm: Column) -> Column:
     return F.concat(F.lit("node_"), F.substring(F.sha2(key, 256), 1, 16))
 
 
+def plain_id(node_type: Column, norm: Column) -> Column:
+    """Type and name themselves as an id: nothing to hash, and no join that looks them up again."""
+    return F.struct(node_type.alias("type"), norm.alias("name"))
+
+
 def fold_nodes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Existing nodes with missing attributes filled in, then the incoming nodes not yet there."""
     added = incoming.select("node_id", F.col("attributes").alias("_more"))
@@ -147,19 +157,10 @@ def link_edges(edges: DataFrame, placed: DataFrame, of_source: tuple[str, ...] =
     """Edges between graph nodes: local ids to node ids, the last node of a local id counting; columns
     named in ``of_source`` are taken over from the source's node.
 
-    Local ids are nearly unique, so nodes are shuffled before they are aggregated: one sort serves
-    the aggregate and both joins.
+    Rows are placed by analysis once, see :func:`with_ends`.
     """
-    ids = (
-        placed.where(F.col("local_id").isNotNull())
-        .select("analysis_id", "local_id", "node_seq", "node_id", *of_source)
-        .repartition("analysis_id", "local_id")
-        .groupBy("analysis_id", "local_id")
-        .agg(F.max_by("node_id", "node_seq").alias("node"), *[F.max_by(c, "node_seq").alias(c) for c in of_source])
-    )
-    src = ids.withColumnsRenamed({"local_id": "source_id", "node": "src"})
-    dst = ids.drop(*of_source).withColumnsRenamed({"local_id": "target_id", "node": "dst"})
-    return edges.join(src, ["analysis_id", "source_id"]).join(dst, ["analysis_id", "target_id"])
+    node = F.col("node_id")
+    return with_ends(edges, placed, {"src": node, **{c: F.col(c) for c in of_source}}, {"dst": node})
 
 
 def edge_rows(linked: DataFrame, *more: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -60,6 +61,33 @@ def contained_pairs(
     return parts.join(wanted, [*scope, needle]).select(*scope, needle, hay)
 
 
+def with_ends(edges: DataFrame, nodes: DataFrame, src: dict[str, Column], dst: dict[str, Column]) -> DataFrame:
+    """Edges with what the last node of their source and of their target says, under the names given.
+
+    Edges whose ends have no node in their analysis are left out. Nodes and edges are stacked and placed by
+    analysis, one payload, once: both lookups are windows inside it, and what is grouped or joined by
+    analysis afterwards needs no exchange either. Two joins on local ids would move the edges twice. Only
+    the rows of one local id are held together, and Spark keeps those on disk where they are many.
+    """
+    values = {f"_{end}_{name}": value for end, of in (("src", src), ("dst", dst)) for name, value in of.items()}
+    known = nodes.where("analysis_id is not null and local_id is not null").select(
+        "analysis_id", F.col("local_id").alias("source_id"), F.col("local_id").alias("target_id"),
+        F.lit(False).alias("_edge"), F.col("node_seq").alias("_place"),
+        F.lit(True).alias("_node"), *[value.alias(name) for name, value in values.items()],
+    )
+    linked = edges.where("analysis_id is not null and source_id is not null and target_id is not null")
+    rows = known.unionByName(linked.withColumn("_edge", F.lit(True)), allowMissingColumns=True).repartition("analysis_id")
+    for end, local, of in (("src", "source_id", src), ("dst", "target_id", dst)):
+        # nodes come before edges: the latest node up to an edge is the last one of its local id
+        window = W.partitionBy("analysis_id", local).orderBy("_edge", "_place").rowsBetween(W.unboundedPreceding, 0)
+        found = F.last(F.when(F.col("_node"), F.struct("_node", *[f"_{end}_{name}" for name in of])), ignorenulls=True).over(window)
+        rows = rows.withColumn(f"_{end}", found)
+    return rows.where("_edge and _src is not null and _dst is not null").select(
+        *edges.columns,
+        *[F.col(f"_src._src_{name}").alias(name) for name in src], *[F.col(f"_dst._dst_{name}").alias(name) for name in dst],
+    )
+
+
 def containment_pairs(names: DataFrame, max_ratio: float = 1.5) -> DataFrame:
     """Pairs of names of one type where one contains the other and the lengths are close.
 
