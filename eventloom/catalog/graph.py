@@ -63,20 +63,18 @@ def _graph(spark, sf):
     """Graph by equal names: names of the nodes, and linked edges."""
     nodes = t.kg_nodes(spark, sf)
     edges = fl.complete_edges(t.kg_edges(spark, sf))
-    return g.exact_entities(nodes), g.link_edges(edges, g.named_nodes(nodes))
+    return g.exact_entities(nodes), g.link_edges(edges, g.named_nodes(nodes, g.plain_id))
 
 
 @query("edge_upsert", f"""WITH {RESOLVED}
 SELECT src_type, src_name, relation, dst_type, dst_name, CAST(count(*) AS BIGINT) AS mentions, min(edge_seq) AS edge_seq
 FROM resolved GROUP BY src_type, src_name, relation, dst_type, dst_name""")
 def edge_upsert(spark, sf):
-    nodes, linked = _graph(spark, sf)
+    _nodes, linked = _graph(spark, sf)
     edges, _more = g.upsert_edges(linked)
-    ends = nodes.select("node_id", "node_type", "norm")
-    src = ends.toDF("src", "src_type", "src_name")
-    dst = ends.toDF("dst", "dst_type", "dst_name")
-    return edges.join(src, "src").join(dst, "dst").select(
-        "src_type", "src_name", "relation", "dst_type", "dst_name", "mentions", "edge_seq"
+    return edges.select(
+        F.col("src.type").alias("src_type"), F.col("src.name").alias("src_name"), "relation",
+        F.col("dst.type").alias("dst_type"), F.col("dst.name").alias("dst_name"), "mentions", "edge_seq",
     )
 
 
