@@ -1,6 +1,24 @@
 """Steps that were computed twice, or shuffled a row for every date."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from eventloom.functions import maps
+
+
+def test_first_and_last_map(spark):
+    rows = [("k", 1, {"a": "x", "b": "y"}), ("k", 2, {"a": "z"}), ("k", 2, {"a": "w"}), ("n", 1, None), (None, 3, {"a": "q"}), ("k", 3, {"c": None})]
+    df = spark.createDataFrame(rows, "k string, s long, m map<string,string>")
+    got = {r.k: (r.first, r.last) for r in maps.first_and_last(df, ["k"], "m", F.col("s")).collect()}
+    for place, last in ((0, False), (1, True)):
+        alone = {r.k: r.m for r in maps.merge_maps(df, ["k"], "m", F.col("s"), last).collect()}
+        assert {k: v[place] for k, v in got.items()} == alone
+    assert got["k"][0]["a"] == "x" and got["k"][1]["a"] == "z"
+
+
+def test_attributes_read_lines_once(spark, sf):
+    plan = entry.queries()["attributes_first_wins_all"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/lineitem.parquet") == 1
 
 
 def test_edge_names_come_with_the_edges(spark, sf):
