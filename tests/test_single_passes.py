@@ -21,6 +21,11 @@ def test_attributes_read_lines_once(spark, sf):
     assert plan.count("/lineitem.parquet") == 1
 
 
+def test_merge_reads_written_graph(spark, sf):
+    plan = entry.queries()["graph_merge"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan
+
+
 def test_edge_names_come_with_the_edges(spark, sf):
     plan = entry.queries()["edge_upsert"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
