@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from eventloom.functions import maps
+from eventloom.operators import events as ev
 
 
 def test_first_and_last_map(spark):
@@ -29,3 +30,13 @@ def test_merge_reads_written_graph(spark, sf):
 def test_edge_names_come_with_the_edges(spark, sf):
     plan = entry.queries()["edge_upsert"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_names_are_not_shuffled_by_date(spark):
+    nodes = spark.createDataFrame([("p", "A", None, 1), ("p", "a", "d2", 2), ("p", "B", "d1", 3), ("p", "B", "d0", 4), (None, "B", "d", 5)],
+                                  "node_type string, name string, timestamp string, node_seq long")
+    names = ev.node_names(nodes)
+    assert sorted(map(tuple, names.collect()), key=str) == sorted(
+        [("p", "a", "A", "N/A"), ("p", "b", "B", "d1"), (None, "b", "B", "d")], key=str)
+    # where the date is not read, nothing is kept of it
+    assert "timestamp" not in names.select("lname", "name")._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
