@@ -35,7 +35,7 @@ SELECT node_type AS type, lower(arg_min(name, useq)) AS lname, arg_min(timestamp
 FROM uniq GROUP BY node_type, lower(name)""")
 def node_upsert(spark, sf):
     nodes = fl.complete_nodes(_unique_nodes(spark, sf))
-    base, _more = g.upsert_nodes(cut(g.named_nodes(nodes)))
+    base, _more = g.upsert_nodes(cut(g.named_nodes(nodes, g.plain_id).drop("confidence")))
     return base.select(
         "type", F.lower("name").alias("lname"), "timestamp", "document_id", "mentions",
         F.try_element_at("attributes", F.lit("brand")).alias("brand"),
@@ -48,14 +48,12 @@ SELECT u.node_type AS type, f.lname, CAST(count(*) AS BIGINT) AS further, CAST(c
 FROM uniq u JOIN f ON f.node_type = u.node_type AND f.lname = lower(u.name)
 WHERE useq <> first AND document_id <> doc GROUP BY u.node_type, f.lname""")
 def node_further_sources(spark, sf):
-    nodes = _unique_nodes(spark, sf)
-    base, more = g.upsert_nodes(cut(g.named_nodes(nodes)))
-    names = base.select("node_id", "type", F.lower("name").alias("lname"))
+    nodes = _unique_nodes(spark, sf).drop("confidence", "attributes")
+    _base, more = g.upsert_nodes(cut(g.named_nodes(nodes, g.plain_id)))
     return (
-        more.groupBy("node_id")
-        .agg(F.count(F.lit(1)).alias("further"), F.count_distinct("document_id").alias("documents"))
-        .join(names, "node_id")
-        .drop("node_id")
+        more.groupBy("node_id", "document_id").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("node_id").agg(F.sum("n").alias("further"), F.count("document_id").alias("documents"))
+        .select("node_id.type", F.col("node_id.name").alias("lname"), "further", "documents")
     )
 
 

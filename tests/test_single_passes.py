@@ -40,3 +40,8 @@ def test_names_are_not_shuffled_by_date(spark):
         [("p", "a", "A", "N/A"), ("p", "b", "B", "d1"), (None, "b", "B", "d")], key=str)
     # where the date is not read, nothing is kept of it
     assert "timestamp" not in names.select("lname", "name")._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_further_sources_look_no_names_up(spark, sf):
+    plan = entry.queries()["node_further_sources"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
