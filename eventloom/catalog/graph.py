@@ -58,18 +58,15 @@ def node_further_sources(spark, sf):
 
 
 def _graph(spark, sf):
-    """Graph by equal names: names of the nodes, and linked edges."""
-    nodes = t.kg_nodes(spark, sf)
-    edges = fl.complete_edges(t.kg_edges(spark, sf))
-    return g.exact_entities(nodes), g.link_edges(edges, g.named_nodes(nodes, g.plain_id))
+    """What makes a graph by equal names: edges, and nodes with type and name as ids."""
+    return fl.complete_edges(t.kg_edges(spark, sf)), g.named_nodes(t.kg_nodes(spark, sf), g.plain_id)
 
 
 @query("edge_upsert", f"""WITH {RESOLVED}
 SELECT src_type, src_name, relation, dst_type, dst_name, CAST(count(*) AS BIGINT) AS mentions, min(edge_seq) AS edge_seq
 FROM resolved GROUP BY src_type, src_name, relation, dst_type, dst_name""")
 def edge_upsert(spark, sf):
-    _nodes, linked = _graph(spark, sf)
-    edges, _more = g.upsert_edges(linked)
+    edges, _more = g.upsert_edges(g.link_edges(*_graph(spark, sf)))
     return edges.select(
         F.col("src.type").alias("src_type"), F.col("src.name").alias("src_name"), "relation",
         F.col("dst.type").alias("dst_type"), F.col("dst.name").alias("dst_name"), "mentions", "edge_seq",
@@ -86,9 +83,7 @@ UNION ALL SELECT 'graph', 'node_count', CAST((SELECT sum(n) FROM n) AS DOUBLE)
 UNION ALL SELECT 'graph', 'edge_count', CAST((SELECT sum(n) FROM e) AS DOUBLE)
 UNION ALL SELECT 'graph', 'density', round((SELECT sum(n) FROM e) / (CAST((SELECT sum(n) FROM n) AS DOUBLE) * ((SELECT sum(n) FROM n) - 1)), 6)""")
 def graph_stats(spark, sf):
-    nodes, linked = _graph(spark, sf)
-    edges, _ = g.upsert_edges(linked)
-    return g.graph_statistics(nodes.withColumnRenamed("node_type", "type"), edges).withColumn("value", r6("value"))
+    return g.named_graph_statistics(*_graph(spark, sf)).withColumn("value", r6("value"))
 
 
 def _plain_graph(spark, sf):

@@ -12,7 +12,7 @@ from ..functions.hashing import multiset_digest, row_digest
 from ..functions.maps import merge_maps, overlay
 from ..functions.text import strip
 from ..session import cut
-from .matching import containment_pairs, first_fit, with_ends
+from .matching import containment_pairs, first_fit, nodes_and_edges, with_ends
 
 LOOK_AHEAD = 4
 EDGE_FIELDS = ("timestamp", "evidence_quote", "document_id", "attributes")
@@ -232,13 +232,31 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     relations = edges.groupBy(F.coalesce("relation", F.lit("unknown")).alias("name")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    spark = nodes.sparkSession
-    start = spark.range(1).select(F.lit("graph").alias("section"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("n"))
-    tagged = (
-        types.select(F.lit("node_type").alias("section"), "name", "n")
-        .union(relations.select(F.lit("relation").alias("section"), "name", "n"))
-        .union(start)
+    return statistics_of_counts(
+        types.select(F.lit("node_type").alias("section"), "name", "n").union(
+            relations.select(F.lit("relation").alias("section"), "name", "n")
+        )
     )
+
+
+def named_graph_statistics(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """:func:`graph_statistics` of the graph that payload edges and nodes with a ``node_id`` of type and name
+    (:func:`named_nodes`) make. Nodes are read once, for the links and for the counts, and nothing is
+    written; of an edge only its key goes on."""
+    node = F.col("node_id")
+    rows = nodes_and_edges(edges.select("analysis_id", "source_id", "relation", "target_id"), placed, {"src": node}, {"dst": node})
+    kinds = rows.select("_edge", "relation", "src", "dst").distinct()
+    name = F.when(F.col("_edge"), F.col("relation")).otherwise(F.col("src.type"))
+    return statistics_of_counts(
+        kinds.groupBy(F.when(F.col("_edge"), "relation").otherwise("node_type").alias("section"), F.coalesce(name, F.lit("unknown")).alias("name"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def statistics_of_counts(counts: DataFrame) -> DataFrame:
+    """Statistics from (section, name, n): nodes of each type under 'node_type', edges of each kind under 'relation'."""
+    start = counts.sparkSession.range(1).select(F.lit("graph").alias("section"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("n"))
+    tagged = counts.union(start)
     # group rows and grand total come from one pass; the extra row gives an empty graph its total
     totalled = tagged.groupingSets([["section", "name"], []], "section", "name").agg(
         F.sum("n").alias("n"),

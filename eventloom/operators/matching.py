@@ -69,22 +69,37 @@ def with_ends(edges: DataFrame, nodes: DataFrame, src: dict[str, Column], dst: d
     analysis afterwards needs no exchange either. Two joins on local ids would move the edges twice. Only
     the rows of one local id are held together, and Spark keeps those on disk where they are many.
     """
-    values = {f"_{end}_{name}": value for end, of in (("src", src), ("dst", dst)) for name, value in of.items()}
-    known = nodes.where("analysis_id is not null and local_id is not null").select(
-        "analysis_id", F.col("local_id").alias("source_id"), F.col("local_id").alias("target_id"),
-        F.lit(False).alias("_edge"), F.col("node_seq").alias("_place"),
-        F.lit(True).alias("_node"), *[value.alias(name) for name, value in values.items()],
+    known = nodes.where("analysis_id is not null and local_id is not null")
+    return nodes_and_edges(edges, known, src, dst).where("_edge").drop("_edge")
+
+
+def nodes_and_edges(edges: DataFrame, nodes: DataFrame, src: dict[str, Column], dst: dict[str, Column]) -> DataFrame:
+    """The edges of :func:`with_ends` (``_edge`` true) and every node (``_edge`` false) in one frame, so that work
+    on both reads nodes once. A node's row says of itself what the columns in ``src`` say of a source, and has
+    its analysis; its other columns are null.
+    """
+    # what is said of both ends goes along once
+    said = {id(value): value for value in (*src.values(), *dst.values())}
+    place = {key: f"_said_{i}" for i, key in enumerate(said)}
+    known = nodes.select(
+        "analysis_id", F.col("local_id").alias("source_id"), F.lit(False).alias("_edge"),
+        F.col("node_seq").alias("_place"), *[value.alias(place[key]) for key, value in said.items()],
     )
     linked = edges.where("analysis_id is not null and source_id is not null and target_id is not null")
     rows = known.unionByName(linked.withColumn("_edge", F.lit(True)), allowMissingColumns=True).repartition("analysis_id")
-    for end, local, of in (("src", "source_id", src), ("dst", "target_id", dst)):
+    node = F.when(~F.col("_edge"), F.struct(*place.values()))
+    for end, local in (("_src", F.col("source_id")), ("_dst", F.coalesce("target_id", "source_id"))):
         # nodes come before edges: the latest node up to an edge is the last one of its local id
-        window = W.partitionBy("analysis_id", local).orderBy("_edge", "_place").rowsBetween(W.unboundedPreceding, 0)
-        found = F.last(F.when(F.col("_node"), F.struct("_node", *[f"_{end}_{name}" for name in of])), ignorenulls=True).over(window)
-        rows = rows.withColumn(f"_{end}", found)
-    return rows.where("_edge and _src is not null and _dst is not null").select(
-        *edges.columns,
-        *[F.col(f"_src._src_{name}").alias(name) for name in src], *[F.col(f"_dst._dst_{name}").alias(name) for name in dst],
+        window = W.partitionBy("analysis_id", "_local").orderBy("_edge", "_place").rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumn("_local", local).withColumn(end, F.last(node, ignorenulls=True).over(window))
+
+    def told(end: str, value: Column, own: Column) -> Column:
+        return F.when(F.col("_edge"), F.col(f"{end}.{place[id(value)]}")).otherwise(own)
+
+    return rows.where("not _edge or (_src is not null and _dst is not null)").select(
+        "_edge", "analysis_id", *[F.when(F.col("_edge"), F.col(c)).alias(c) for c in edges.columns if c != "analysis_id"],
+        *[told("_src", value, F.col(place[id(value)])).alias(name) for name, value in src.items()],
+        *[told("_dst", value, F.lit(None)).alias(name) for name, value in dst.items()],
     )
 
 
