@@ -39,3 +39,20 @@ def test_graph_stats_reads_nodes_once(spark, sf):
     plan = entry.queries()["graph_stats"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("/lineitem.parquet") == 2 and plan.count("/part.parquet") == 1  # once for nodes, once for edges
     assert "/step-" not in plan
+
+
+def test_batch_stats_from_one_placement(spark):
+    nodes, edges = frames(spark)
+    nodes, edges = nodes.selectExpr("*", "1.0D as confidence"), edges.selectExpr("*", "1.0D as confidence")
+    groups = spark.createDataFrame([("v", "a", "d", 1), ("w", "a", "e", 2), ("w", "x", "e", 1), ("w", None, None, 1)],
+                                   "event_key string, analysis_id string, document_id string, n_mentions long")
+    en = ev.event_nodes(ev.event_node_sources(groups, nodes))
+    ee = ev.event_edges(ev.event_edge_sources(groups, ev.resolve_edges(edges, nodes)))
+    apart = ev.unified_stats(ev.unified_nodes(en), ev.unified_edges(ee), ev.group_members(groups))
+    assert facts(ev.batch_stats(groups, edges, nodes)) == facts(apart) == [(4, 3, 2, 2)]
+    assert facts(ev.batch_stats(groups.limit(0), edges, nodes)) == [(0, 0, 0, 0)]
+
+
+def test_unified_stats_reads_nodes_once(spark, sf):
+    plan = entry.queries()["unified_stats"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/lineitem.parquet") == 2 and plan.count("/part.parquet") == 1
