@@ -56,3 +56,9 @@ def test_batch_stats_from_one_placement(spark):
 def test_unified_stats_reads_nodes_once(spark, sf):
     plan = entry.queries()["unified_stats"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("/lineitem.parquet") == 2 and plan.count("/part.parquet") == 1
+
+
+def test_values_of_both_ends_are_sent_once(spark):
+    nodes, edges = frames(spark)
+    sent = ev.resolve_edges(edges, nodes)._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert sent.count("lower(") == 1 and sent.count("null AS target_id") == sent.count("AS target_id") == 1
