@@ -88,15 +88,17 @@ def nodes_and_edges(edges: DataFrame, nodes: DataFrame, src: dict[str, Column],
     linked = edges.where("analysis_id is not null and source_id is not null and target_id is not null")
     rows = known.unionByName(linked.withColumn("_edge", F.lit(True)), allowMissingColumns=True).repartition("analysis_id")
     node = F.when(~F.col("_edge"), F.struct(*place.values()))
-    for end, local in (("_src", F.col("source_id")), ("_dst", F.coalesce("target_id", "source_id"))):
+    for end, local in (("_src", "source_id"), ("_dst", "_local")):
         # nodes come before edges: the latest node up to an edge is the last one of its local id
-        window = W.partitionBy("analysis_id", "_local").orderBy("_edge", "_place").rowsBetween(W.unboundedPreceding, 0)
-        rows = rows.withColumn("_local", local).withColumn(end, F.last(node, ignorenulls=True).over(window))
+        window = W.partitionBy("analysis_id", local).orderBy("_edge", "_place").rowsBetween(W.unboundedPreceding, 0)
+        latest = F.when(F.col("_edge"), F.last(node, ignorenulls=True).over(window))
+        rows = rows.withColumn(end, latest).where(f"not _edge or {end} is not null")
+        rows = rows.withColumn("_local", F.coalesce("target_id", "source_id"))
 
     def told(end: str, value: Column, own: Column) -> Column:
         return F.when(F.col("_edge"), F.col(f"{end}.{place[id(value)]}")).otherwise(own)
 
-    return rows.where("not _edge or (_src is not null and _dst is not null)").select(
+    return rows.select(
         "_edge", "analysis_id", *[F.when(F.col("_edge"), F.col(c)).alias(c) for c in edges.columns if c != "analysis_id"],
         *[told("_src", value, F.col(place[id(value)])).alias(name) for name, value in src.items()],
         *[told("_dst", value, F.lit(None)).alias(name) for name, value in dst.items()],

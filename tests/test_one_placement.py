@@ -3,6 +3,7 @@
 import __spark_entry__ as entry
 from eventloom.operators import events as ev
 from eventloom.operators import graph as g
+from eventloom.sources import tables as t
 
 NODES = [
     ("a", "1", "actor", "Ann", 1), ("a", "1", "actor", "Anna", 5), ("a", "2", "event", "Vote", 2), ("a", None, "event", "None", 3),
@@ -62,3 +63,36 @@ def test_values_of_both_ends_are_sent_once(spark):
     nodes, edges = frames(spark)
     sent = ev.resolve_edges(edges, nodes)._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
     assert sent.count("lower(") == 1 and sent.count("null AS target_id") == sent.count("AS target_id") == 1
+
+
+def test_batch_edges_sent_once(spark):
+    nodes, edges = frames(spark)
+    nodes, edges = nodes.selectExpr("*", "1.0D as confidence"), edges.selectExpr("*", "IF(target_id = '2', 0.25D, null) as confidence")
+    groups = spark.createDataFrame([("v", "a", "d", 1), ("w", "a", "e", 2), ("w", "b", "e", 3), ("w", "x", "e", 1), (None, "b", None, 1)],
+                                   "event_key string, analysis_id string, document_id string, n_mentions long")
+    sources = ev.event_edge_sources(groups, ev.resolve_edges(edges, nodes))
+    got = ev.batch_unified_edges(sources)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in line and "src_name" in line for line in plan.splitlines()) == 1
+    assert facts(got) == facts(ev.unified_edges(ev.event_edges(sources))) and got.count() == 7
+    assert ("actor", "anna", "does", "event", "vote", 1.5, 2) in facts(got)
+
+
+def test_unified_edges_places_lines_not_their_nodes(spark, sf):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["unified_edges"](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    above = [plan[i - 1] for i, line in enumerate(plan) if line.lstrip(" :+-").startswith("Union")]
+    assert above and not any("Exchange" in line for line in above)
+    assert sum("Exchange hashpartitioning" in line and "src_name" in line for line in plan) == 1
+
+
+def test_placed_frames_hold_the_same_rows(spark, sf):
+    for frame in (t.kg_nodes, t.kg_edges):
+        apart, placed = frame(spark, sf), frame(spark, sf, placed=True)
+        assert placed.columns == apart.columns
+        text = lambda rows: rows.selectExpr("to_json(struct(*)) as row")
+        assert text(placed).exceptAll(text(apart)).isEmpty() and text(apart).exceptAll(text(placed)).isEmpty()
