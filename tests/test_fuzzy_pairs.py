@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
+from eventloom.functions import fuzzy
 from eventloom.operators import fuzzy_pairs as fp
 
 DDL = "event_id long, name string, description string, date string, location string"
@@ -121,3 +122,47 @@ def test_characters_are_counted_behind_the_join(spark):
     classes, _ = fp.event_classes(spark.createDataFrame(events(40), DDL))
     plan = fp.near_pairs(classes, fp.ordered_names(classes), 2 / 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("aggregate(") < plan.index("Aggregate [") < plan.index("Join Inner")
+
+
+def test_all_pairs_of_events_are_found(spark, monkeypatch):
+    """Events of one class, of equal name and description, and behind the first of a class; ids that come twice or lack."""
+    monkeypatch.setattr(fp, "DEALT", 3)
+    monkeypatch.setattr(fp, "LEAST", 8)
+    rows = events(120, 3)
+    rows += [(300 + i, "Budget vote in Rome", "The senate votes", f"2025-01-0{1 + i % 5}", "Rome, Italy") for i in range(10)]
+    rows += [(320 + i, *row[1:]) for i, row in enumerate(rows[-4:])]
+    want = {}
+    for i, a in enumerate(sorted(rows, key=lambda r: r[0])):
+        for b in sorted(rows, key=lambda r: r[0])[i + 1 :]:
+            low = [(x or "").lower() for x in (a[1], b[1], a[2], b[2])]
+            score = 0.6 * ratio(low[0], low[1]) + 0.2 * ratio(low[2], low[3]) + 0.1 * gap_score(a[3], b[3]) + 0.1 * place_score(a[4], b[4])
+            if score >= 0.8:
+                want[a[0], b[0]] = round(score, 9)
+    held = spark.createDataFrame([*rows, rows[0], (None, *rows[-1][1:])], DDL).repartition(3)
+    classes, _ = fp.event_classes(held)
+    got = [(r.id1, r.id2, round(r.score, 9)) for r in fp.fuzzy_event_pairs(classes, events=held).collect()]
+    assert {(a, b): score for a, b, score in got} == want and len(got) == len(want)
+    assert len(want) > len(fp.fuzzy_event_pairs(classes).collect()) + 50
+
+
+def test_registered_pairs_hold_members_and_told_pairs(spark, tmp_path):
+    from eventloom.catalog import QUERIES
+
+    rows = [(i, f"https://a.b.example.com/{url}", "<title>Senate votes on the budget</title>") for i, url in ((0, "x"), (30, "x"), (45, "x"), (60, "y"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["fuzzy_event_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r.id1, r.id2) for r in got) == [(0, 30), (0, 45), (0, 60), (30, 45), (30, 60), (45, 60)]
+
+
+def test_matched_characters_are_those_of_the_library():
+    draw = random.Random(5)
+    for letters in ("ab c", "aé𝄞\0 xyz", "".join(map(chr, range(0x4E00, 0x4E00 + 4000)))):
+        text = lambda: "".join(draw.choices(letters, k=draw.choice([0, 1, 5, 40, 63, 64, 210])))
+        left = [text() for _ in range(200)]
+        right = [text() if draw.random() < 0.5 else x[: draw.randrange(50)] + "q" + x[-9:] for x in left]
+        want = [sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks()) for x, y in zip(left, right)]
+        assert fuzzy.matched(left, right).tolist() == want
+        for need in (0.5, 0.8):  # what is passed over has too few
+            found = {(i, j) for i, places in fuzzy.alike(right, left, lambda some, at: need) for j in places}
+            reach = {i for i, (x, y, n) in enumerate(zip(left, right, want)) if x and y and 2 * n >= need * (len(x) + len(y))}
+            assert all((i, i) in found for i in reach) and len(found) < 0.7 * 200 * 200
