@@ -11,10 +11,11 @@ Every candidate is verified by its cosine in double precision. Links are united
 
 Scale: exact copies are one vector before indexing, so a group of copies is one query and one node.
 Shards hold at most about ``SHARD`` vectors and ``BLOCK`` queries meet one shard in one task, so a
-task's memory is bounded. Querying every shard is the method: with a fixed number of shards work
+task's memory is bounded. An index is a file of the shared folder, which workers map into memory where the folder is one
+of the machine and else read and keep one at a time; rows with it would fill the executors' heaps. Querying every shard is the method: with a fixed number of shards work
 grows as n log n, beyond ``SHARD`` vectors each as n squared over ``SHARD``. A task returns one
-row per query with links and a spanning forest of its links, never all pairs. Indexes and results are
-written tables; a lost executor costs its tasks.
+row per query with links and a spanning forest of its links, never all pairs, and holds about ``LINKS`` links at a
+time. Indexes are written files, results written tables; a lost executor costs its tasks.
 
 Defined results: null vectors, empty ones, zero ones and those with null or non-finite components link with
 nothing; vectors of another length only link with those of their own. Rows with the same id are
@@ -24,16 +25,19 @@ empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
-import io
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import components, table, union_roots
-from eventloom.session import cut
+from eventloom.llm.common import components, in_worker, table, union_roots
+from eventloom.llm.kneser_ney import _qualified
+from eventloom.session import cut, fresh_dir
 
 THRESHOLD = 0.95
 SHARDS, SHARD, BLOCK = 4, 50_000, 8_192
@@ -42,6 +46,7 @@ AT_ONCE, EXPANDED = 256, 4  # queries that descend together, nodes that each exp
 AUDITED, RECALL, WIDEST = 64, 0.99, 8
 DRAWN, TRIED, WIDE = 256, 4_096, 128  # vectors audited at random, tried for partners, and the beam they are tried with
 AUDIT = 0  # in place of a beam: find it by auditing the queries at hand
+LINKS = 1_000_000  # links that a task holds at a time
 NARROW = 1e-4  # single-precision margin below the threshold; double precision decides
 
 
@@ -167,17 +172,16 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
-    def within(self, q: np.ndarray, limit: float, beam: int) -> list[np.ndarray]:
-        """Nodes with a similarity of ``limit`` or more that the search finds, for each query."""
+    def within(self, q: np.ndarray, limit: float, beam: int) -> Iterator[np.ndarray]:
+        """Nodes with a similarity of ``limit`` or more that the search finds, for each query; one after the
+        other, as each may have as many as the shard has."""
         at = np.full((len(q), 1), self.entry)
         for layer in range(len(self.near) - 1, 0, -1):
             at, _ = self._beam(q, at, layer, EXPANDED)
         ids, sims = self._beam(q, at, 0, beam)
-        found = []
         for i in range(len(q)):
             hits = ids[i][sims[i] >= limit]
-            found.append(self._flood(q[i], hits, limit) if len(hits) == beam else hits)
-        return found
+            yield self._flood(q[i], hits, limit) if len(hits) == beam else hits
 
     def _flood(self, q: np.ndarray, hits: np.ndarray, limit: float) -> np.ndarray:
         """All nodes reachable from the hits through nodes at or above the limit."""
@@ -246,8 +250,8 @@ def audited_shard(graph: Graph, exact: np.ndarray) -> int | None:
 def search(
     graph: Graph, exact: np.ndarray, queries: np.ndarray, own: np.ndarray | None = None, beam: int | None = AUDIT
 ) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Verified hits of unit vectors (double precision), some queries at a time; the beam is wide
-    enough for the audited recall; None compares with all. ``own`` is each query's node, which is no hit of it, or -1."""
+    """Verified hits of unit vectors (double precision), some queries at a time, as many as have about
+    ``LINKS`` hits; the beam is wide enough for the audited recall; None compares with all. ``own`` is each query's node, which is no hit of it, or -1."""
     own = np.full(len(queries), -1) if own is None else own
     single = queries.astype(np.float32)
     if beam == AUDIT:
@@ -259,30 +263,89 @@ def search(
             yield at, partners(exact, q, o)
             continue
         found = graph.within(single[at : at + step], THRESHOLD - NARROW, min(beam, max(len(exact), 1)))
-        yield at, [others(h[exact[h] @ x >= THRESHOLD], i) for h, x, i in zip(found, q, o)]
+        first, held, size = at, [], 0
+        for h, x, i in zip(found, q, o):
+            held.append(others(h[exact[h] @ x >= THRESHOLD], i))
+            size += len(held[-1])
+            if size >= LINKS:
+                yield first, held
+                first, held, size = first + len(held), [], 0
+        if held:
+            yield first, held
+
+
+def _packed(arrays: dict[str, np.ndarray]) -> tuple[bytes, str]:
+    """Arrays one behind the other, and what they are: name -> type, shape and place."""
+    parts, listed, size = [], {}, 0
+    for name, array in arrays.items():
+        listed[name] = (array.dtype.str, array.shape, size)
+        parts.append(np.ascontiguousarray(array).tobytes())
+        parts.append(bytes(-len(parts[-1]) % 64))  # so that the next one lies as its type needs
+        size += len(parts[-2]) + len(parts[-1])
+    return b"".join(parts), json.dumps(listed)
+
+
+def _unpacked(raw: np.ndarray, listed: str) -> dict[str, np.ndarray]:
+    """The arrays of :func:`_packed`, where they lie."""
+    out = {}
+    for name, (kind, shape, at) in json.loads(listed).items():
+        out[name] = raw[at : at + int(np.prod(shape)) * np.dtype(kind).itemsize].view(kind).reshape(shape)
+    return out
+
+
+def _raw(path: str) -> np.ndarray:
+    """A shard's file: mapped where the folder is one of the machine, else read and kept by the worker."""
+    files, at = pafs.FileSystem.from_uri(path)
+    if isinstance(files, pafs.LocalFileSystem):
+        return np.memmap(at, np.uint8, "r")
+
+    def read() -> np.ndarray:
+        with files.open_input_file(at) as f:
+            return np.frombuffer(f.read(), np.uint8)
+
+    return in_worker(path, read)
 
 
 def _index(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One shard's graph and beam (-1: compare with all), packed."""
+    """One shard's vectors, graph and beam (-1: compare with all), packed."""
     x = np.stack(rows["embedding"].to_numpy())
     exact = unit(x)
-    graph, packed = Graph(exact.astype(np.float32)), io.BytesIO()
-    beam = audited_shard(graph, exact) or -1
-    np.savez(packed, x=x, beam=beam, entry=graph.entry, vec=rows["vec"].to_numpy().astype(bytes), rep=rows["rep"].to_numpy(), copies=rows["copies"].to_numpy(), *graph.near)
-    return pd.DataFrame({"shard": [key[0]], "packed": [packed.getvalue()]})
+    graph = Graph(exact.astype(np.float32))
+    beam, vec = audited_shard(graph, exact) or -1, rows["vec"].to_numpy().astype(bytes)
+    packed, listed = _packed({
+        "x": x, "vec": vec, "order": np.argsort(vec), "rep": rows["rep"].to_numpy(), "copies": rows["copies"].to_numpy(),
+        "beam_entry": np.array([beam, graph.entry]), **{f"near_{i}": layer for i, layer in enumerate(graph.near)},
+    })
+    return pd.DataFrame({"shard": [key[0]], "packed": [packed], "listed": [listed]})
+
+
+def _filed(made: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """A packed shard as a file of the shared folder: (shard, name, listed). An index is some twenty MB, which
+    rows would bring through the executor's heap once for each block of queries."""
+    files, base = pafs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+    name = uuid.uuid4().hex  # a task that runs again writes a file of its own
+    with files.open_output_stream(f"{base}/{name}") as out:
+        out.write(made["packed"].iloc[0])
+    return made.assign(name=name)[["shard", "name", "listed"]]
 
 
 def _answer(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """(vec, links) of each query with links to other vectors of the shard, and links (a, b) that span its components."""
     if not len(queries) or not len(index):
         return pd.DataFrame({"vec": [], "links": [], "a": [], "b": []}, dtype=object)
-    with np.load(io.BytesIO(index["packed"].iloc[0])) as z:
-        x, vec, rep, copies, entry, beam = z["x"], z["vec"], z["rep"], z["copies"], int(z["entry"]), int(z["beam"])
-        near = [z[f"arr_{i}"] for i in range(sum(name.startswith("arr_") for name in z.files))]
-    exact, asked = unit(x), unit(np.stack(queries["embedding"].to_numpy()))
+    packed = index["packed"].iloc[0]
+    return _answers(queries, _unpacked(np.frombuffer(packed, np.uint8), index["listed"].iloc[0]))
+
+
+def _answers(queries: pd.DataFrame, z: dict[str, np.ndarray]) -> pd.DataFrame:
+    vec, rep, copies, order, (beam, entry) = z["vec"], z["rep"], z["copies"], z["order"], z["beam_entry"].tolist()
+    near = [z[f"near_{i}"] for i in range(sum(name.startswith("near_") for name in z))]
+    exact, asked = unit(z["x"]), unit(np.stack(queries["embedding"].to_numpy()))
     graph, own = Graph(exact.astype(np.float32), near, entry), queries["rep"].to_numpy()
-    node_of = {v: i for i, v in enumerate(vec.tolist())}
-    itself = np.array([node_of.get(v.encode(), -1) for v in queries["vec"]])
+    named = queries["vec"].to_numpy().astype(bytes)
+    itself = order[np.minimum(np.searchsorted(vec, named, sorter=order), len(vec) - 1)]
+    itself = np.where(vec[itself] == named, itself, -1)
     nodes, place = np.unique(np.concatenate([own, rep]), return_inverse=True)
     label, links = np.arange(len(nodes)), np.zeros(len(own), np.int64)
     for at, found in search(graph, exact, asked, itself, None if beam < 0 else beam):
@@ -304,6 +367,17 @@ def _answer(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFr
     )
 
 
+def _indexes(placed: DataFrame) -> dict[int, tuple[str, str]]:
+    """Files of all shards and what is in them; one small row for each comes to the driver."""
+    folder = _qualified(placed.sparkSession, fresh_dir(placed.sparkSession, "shards"))
+
+    def file(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _filed(_index(key, rows), folder)
+
+    made = placed.groupBy("shard").applyInPandas(file, "shard long, name string, listed string")
+    return {r.shard: (f"{folder}/{r['name']}", r.listed) for r in made.collect()}
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     single = vectors.select(vectors[embedding]).dtypes[0][1] == "array<float>"
@@ -322,17 +396,19 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     shards, blocks = max(SHARDS, -(-count // SHARD)), max(1, -(-count // BLOCK))
     size = F.size("embedding").cast("long") * shards
     placed = reps.withColumn("shard", size + F.pmod(F.xxhash64("vec"), F.lit(shards)))
-    indexes = cut(placed.groupBy("shard").applyInPandas(_index, "shard long, packed binary"))
+    indexes = _indexes(placed)
     asked = reps.select(
         "vec", "rep", "embedding", F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(blocks)).alias("block"),
         F.explode(F.sequence(size, size + shards - 1)).alias("shard"),
     )
-    offered = indexes.select("shard", "packed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    answers = cut(
-        asked.groupBy("shard", "block")
-        .cogroup(offered.groupBy("shard", "block"))
-        .applyInPandas(_answer, "vec string, links long, a long, b long")
-    )
+
+    def answer(key: tuple, queries: pd.DataFrame) -> pd.DataFrame:
+        if key[0] not in indexes:  # no vector of this length was dealt to the shard
+            return pd.DataFrame({"vec": [], "links": [], "a": [], "b": []}, dtype=object)
+        path, listed = indexes[key[0]]
+        return _answers(queries, _unpacked(_raw(path), listed))
+
+    answers = cut(asked.groupBy("shard", "block").applyInPandas(answer, "vec string, links long, a long, b long"))
     roots = cut(components(answers.filter("a is not null").select("a", "b")))
     # copies of a vector are known without the search, which leaves the vector itself out
     degree = answers.filter("vec is not null").groupBy("vec").agg(F.sum("links").alias("others"))
